@@ -23,6 +23,8 @@ _SHINGLE = U64(0xD6E8FEB86659FD93)
 
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _vec as v
 from . import vocabulary
 from ._rows import ID, KEY, TEXT, keyed
 
@@ -44,7 +45,6 @@ class Codec:
         self.bytes_of = {i: b for b, i in vocabulary.ranks(path).items()}
         self.split = regex.compile(pattern)
         self.unsplit = unsplit
-        self.long = regex.compile(r"[^\s]{%d,}|\s{%d,}" % (max(1, unsplit // 4), max(1, unsplit // 4)))
 
     def decode(self, tokens: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, tokens))
@@ -70,8 +70,9 @@ class Codec:
                 return left[:a] + window + right[z:]
             size *= 2
 
-    def encode(self, text: str) -> list[int]:
-        if not self.long.search(text):
+    def encode(self, text: str, long: bool = True) -> list[int]:
+        """``long``: whether a word may be longer than ``unsplit`` bytes."""
+        if not long:
             return self.encoding.encode_ordinary(text)
         out: list[int] = []
         for word in self.split.findall(text):
@@ -140,15 +141,31 @@ def _lists(rows: list[list[int] | None]) -> pa.Array:
     return pa.array(rows, type=pa.list_(pa.int32()))
 
 
+def _long(column: pa.Array, unsplit: int) -> np.ndarray:
+    """Of each text, whether it may have a run of ``unsplit`` bytes without, or of, ASCII white space.
+
+    Such a run covers a whole aligned block of half its length.
+    """
+    data, offs = v.buffers(column)
+    out = np.zeros(len(offs) - 1, dtype=bool)
+    block = max(1, unsplit // 2)
+    first, blocks = int(offs[0]), int(offs[-1] - offs[0]) // block
+    blank = v.SPACE[data[first : first + blocks * block].reshape(blocks, block)]
+    whole = np.flatnonzero(~blank.any(axis=1) | blank.all(axis=1)) * block
+    out[np.searchsorted(offs - first, whole, "right") - 1] = True
+    return out
+
+
 def _encode(path: str, pattern: str, unsplit: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern, unsplit)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            column = batch.column(batch.num_columns - 1)
+            texts, long = column.to_pylist(), _long(column, unsplit)
             # the tokens of a few documents at a time are Python objects
             for lo in range(0, len(texts), 256):
                 part = batch.slice(lo, 256)
-                tokens = [None if t is None else c.encode(t) for t in texts[lo : lo + 256]]
+                tokens = [None if t is None else c.encode(t, far) for t, far in zip(texts[lo : lo + 256], long[lo : lo + 256])]
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(tokens)], [*part.schema.names, "tokens"])
 
     return run

@@ -23,8 +23,6 @@ MIN_WORDS = 8
 
 _END = np.zeros(256, dtype=bool)
 _END[[46, 33, 63]] = True
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def sentences(data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, v.Words, np.ndarray]:
@@ -36,7 +34,7 @@ def sentences(data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> tuple[np.
     b = data[offs[lo] : offs[hi]]
     rel = offs[lo : hi + 1] - offs[lo]
     cut = b == 10
-    cut[:-1] |= _END[b[:-1]] & _SPACE[b[1:]]
+    cut[:-1] |= _END[b[:-1]] & v.SPACE[b[1:]]
     starts = np.union1d(np.flatnonzero(cut) + 1, rel)
     w = v.words(data, offs, lo, hi)
     of = np.searchsorted(starts, w.start, "right") - 1
