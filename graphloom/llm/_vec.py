@@ -104,8 +104,11 @@ def slice_hash(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.nd
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
 
 
-def words(data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> Words:
-    """Words of the documents lo..hi, hashed from their bytes with ASCII and Latin-1 letters lowered."""
+def words(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, stem: int = 0) -> Words:
+    """Words of the documents lo..hi, hashed from their bytes with ASCII and Latin-1 letters lowered.
+
+    With ``stem``, each word ends after so many characters.
+    """
     b = LOWER[data[offs[lo] : offs[hi]]]
     # capitals of Latin-1: C3 80..9E without 97
     b[1:][(b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)] += 32
@@ -121,6 +124,10 @@ def words(data: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> Words:
     end = np.flatnonzero(inside & ~after[1:]) + 1
     first = np.searchsorted(start, rel)
     doc = np.repeat(np.arange(hi - lo), np.diff(first))
+    if stem and len(start):
+        lead = (b & 0xC0) != 0x80
+        leads = np.r_[np.flatnonzero(lead), np.full(stem, len(b))]
+        end = np.minimum(end, leads[np.cumsum(lead)[start] - 1 + stem])
     sums, down = prefix_hash(b)
     return Words(doc, start, end, slice_hash(sums, down, start, end), first)
 

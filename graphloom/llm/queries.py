@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, langid, minhash, pseudonyms, spans, token_counts
+from . import bpe, decontaminate, fingerprints, langid, lm_scoring, minhash, pseudonyms, spans, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.families(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -49,7 +53,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op4_token_counts, op5_near_duplicates, op7_repeated_spans, op8_bpe, op9_decontamination, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_lm_scores, op3_language_id, op4_token_counts, op5_near_duplicates, op7_repeated_spans, op8_bpe, op9_decontamination, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
