@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, langid, lm_scoring, minhash, pseudonyms, spans, token_counts
+from . import bpe, decontaminate, fingerprints, langid, lm_scoring, minhash, pseudonyms, spans, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_lm_scores, op3_language_id, op4_token_counts, op5_near_duplicates, op7_repeated_spans, op8_bpe, op9_decontamination, op10_pseudonyms)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_lm_scores, op3_language_id, op4_token_counts, op5_near_duplicates, op6_toxicity, op7_repeated_spans, op8_bpe, op9_decontamination, op10_pseudonyms)}
 
 
 def oracle_sql() -> dict[str, str]:
