@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -117,8 +118,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, piece: int = PIECE, search: int = SEARCH, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are not rejected; edge cases as in :func:`identify`."""
-    import pandas as pd
-
     run = _classify(dictionaries, margin, piece, search)
 
     @F.pandas_udf("boolean")
