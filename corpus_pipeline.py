@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontaminate, langid, minhash, pseudonyms
 from graphloom.llm._rows import shared_folder
@@ -36,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal values by pseudonyms; n_chars follows the text."""
-    return pseudonyms.replace(docs)
+    return pseudonyms.replace(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
