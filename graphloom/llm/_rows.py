@@ -1,14 +1,14 @@
-"""Row identity, checkpoints and sizes: what the operators share on Spark's side."""
+"""Row identity and checkpoints: what the operators share on Spark's side."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import saved, shared_folder
+
+__all__ = ["ID", "KEY", "TEXT", "keyed", "same", "saved", "shared_folder"]
+
 #: Names for internal columns; they are dropped before a result is returned.
 ID, KEY, TEXT = "__gl_id", "__gl_key", "__gl_text"
 
@@ -22,27 +22,3 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def same(a: DataFrame, b: DataFrame) -> Column:
     """Join condition on row identity; a null id equals a null id."""
     return a[ID].eqNullSafe(b[ID]) & (a[KEY] == b[KEY])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    Only where that is unset, on one machine (tests), a temporary one is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="graphloom-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder, with its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
