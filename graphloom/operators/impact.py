@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
-from .traverse import walk
+from .traverse import adjacency, bfs, seed_frame, walk
 
 UNKNOWN = "<unknown>"
 
@@ -65,3 +65,32 @@ def hints(level: str, n_files: int, n_sites: int, public: bool, by_method: bool,
         out.append(f"It rests on {n_dependencies} other symbols; look at these first.")
     out.append({"low": "Run the tests of its file.", "medium": "Run the whole test suite."}.get(level, "Run the whole test suite and the linter, and review each caller."))
     return out
+
+
+def risks(g: CodeGraph, ids: list[str], depth: int = 2, limit: int | None = 100) -> DataFrame:
+    """(id, files, sites, dependencies, score, level) of many nodes by two walks, not two for each."""
+    seeds = seed_frame(g, *ids)
+    known = g.nodes.select(F.col("id").alias("next"))
+    up = bfs(adjacency(g.edges, "in", ("calls",)).join(known, "next", "left_semi"), seeds, depth, limit)
+    down = bfs(adjacency(g.edges, "out").join(known, "next", "left_semi"), seeds, depth, limit)
+    where = g.nodes.select(F.col("id").alias("node"), "file")
+    files = up.join(where, "node").groupBy("seed").agg(F.countDistinct("file").alias("files"))
+    needs = down.groupBy("seed").agg(F.count(F.lit(1)).alias("dependencies"))
+    calls = g.edges.where(F.col("dst").isin(ids) & (F.col("kind") == "calls")).groupBy(F.col("dst").alias("seed")).agg(F.count(F.lit(1)).alias("sites"), F.coalesce(F.bool_or(F.col("call_style") == "method"), F.lit(False)).alias("by_method"))
+    me = g.nodes.where(F.col("id").isin(ids)).select(F.col("id").alias("seed"), F.coalesce(F.col("visibility") == "pub", F.lit(False)).alias("public"))
+    all_ = me.join(files, "seed", "left").join(needs, "seed", "left").join(calls, "seed", "left").fillna(0, ["files", "sites", "dependencies"]).fillna(False, ["by_method"])
+    score = 3 * F.col("files") + F.col("sites") + F.when(F.col("public") & (F.col("sites") > 0), 3).otherwise(0) + F.when(F.col("by_method"), 2).otherwise(0) + F.when(F.col("dependencies") > 20, 2).otherwise(0)
+    level = F.when(F.col("score") <= 2, "low").when(F.col("score") <= 7, "medium").when(F.col("score") <= 14, "high").otherwise("critical")
+    return all_.withColumn("score", score).withColumn("level", level).select(F.col("seed").alias("id"), "files", "sites", "dependencies", "score", "level")
+
+
+def advice(level: str, tests: list[str], integration: bool = False) -> list[str]:
+    """Commands to run after a change: the nearest tests, more of them the higher the risk."""
+    out = [f"cargo test {t}" for t in tests[:5]]
+    if level in ("medium", "high", "critical"):
+        out.append("cargo test")
+    if level in ("high", "critical"):
+        out.append("cargo clippy --all-targets")
+        if integration:
+            out.append("cargo test --tests")
+    return out

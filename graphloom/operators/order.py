@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
 from ..runtime import saved
-from .impact import impact
+from .impact import risks
 from .lookup import find_nodes
 
 #: Up to this many edges an order is computed on the driver; beyond, by peeling levels.
@@ -111,8 +111,6 @@ def refactor_order(g: CodeGraph, names: list[str], depth: int = 2, limit: int =
         needs[r.src].add(r.dst)
     order = kahn(needs)
     rest = {n: d for n, d in needs.items() if n not in order}
-    steps = []
-    for step, node in enumerate([*order, *sorted(rest)], 1):
-        r = impact(g, node, depth).risk.first()
-        steps.append((step, node, int(r.score), r.level))
+    risk = {r.id: r for r in risks(g, ids, depth).collect()} if ids else {}
+    steps = [(step, node, int(risk[node].score), risk[node].level) for step, node in enumerate([*order, *sorted(rest)], 1)]
     return spark.createDataFrame(steps, "step int, id string, score int, level string"), components(rest), missing

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..graph import CodeGraph
 from ..operators import commits as K
+from ..operators import guide as reading
 from ..operators import health as H
 from ..operators import impact as I
 from ..operators import link, lookup, metrics, order, rank, sets, traverse
@@ -632,3 +633,44 @@ def retrieve_cascade(spark, d):
 def cosine_topk(spark, d):
     e, q = _vectors(spark, d)
     return rank.nearest(e, q).withColumn("similarity", F.round("similarity", 5))
+
+
+# --- reading ---------------------------------------------------------------------------------------------------------
+
+
+@query(graph("SELECT e.src, e.dst, e.kind, e.weight FROM edges e WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY ord LIMIT 80", "top AS (SELECT n.id FROM nodes n LEFT JOIN degree USING (id) WHERE kind <> 'project' ORDER BY coalesce(degree, 0) DESC, n.id LIMIT 28)"))
+def overview(spark, d):
+    return reading.overview(star(spark, d))
+
+
+@query(
+    graph(
+        "SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE depth > 0 AND root <> id GROUP BY root, id",
+        f"hits AS ({_RANKED.format(_TEXT.format(25))} ORDER BY score DESC, qualified_name, id LIMIT 6)",
+        "walk AS (SELECT id AS root, id, 0 AS depth FROM hits UNION SELECT w.root, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < 2 AND e.kind = 'calls')",
+        recursive=True,
+    )
+)
+def guide_callers(spark, d):
+    return reading.guide(star(spark, d), "copper small").callers
+
+
+@query(
+    graph(
+        "SELECT n.id, coalesce(f.files, 0) AS files, coalesce(s.sites, 0) AS sites FROM hubs n LEFT JOIN (SELECT root AS id, count(DISTINCT file) AS files FROM walk JOIN nodes ON nodes.id = walk.id WHERE depth > 0 GROUP BY root) f USING (id) LEFT JOIN (SELECT dst AS id, count(*) AS sites FROM edges WHERE kind = 'calls' GROUP BY dst) s USING (id)",
+        "hubs AS (SELECT dst AS id FROM edges WHERE kind = 'calls' GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 5)",
+        "walk AS (SELECT id AS root, id, 0 AS depth FROM hubs UNION SELECT w.root, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < 2 AND e.kind = 'calls')",
+        recursive=True,
+    )
+)
+def risks(spark, d):
+    g = star(spark, d)
+    ids = [r.dst for r in g.edges.where("kind = 'calls'").groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(5).collect()]
+    return I.risks(g, ids, limit=None).select("id", "files", "sites")
+
+
+@query("WITH b AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT CAST(start AS VARCHAR) AS start, event_type, n FROM b")
+def event_counts(spark, d):
+    from ..streaming.refresh import event_counts as counts
+
+    return counts(table(spark, d, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
