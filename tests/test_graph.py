@@ -18,8 +18,8 @@ def make(spark, nodes, edges):
 
 @pytest.fixture(scope="module")
 def ambiguous(spark):
-    f = "function:crabs::"
-    return make(spark, [(f + "index", "index", "crabs::index", "src/main.rs", 10), (f + "analyzer::index", "index", "crabs::analyzer::index", "src/analyzer.rs", 30), (f + "helper", "helper", "crabs::helper", "src/main.rs", 50)], [(f + "index", f + "helper", "calls", None)])
+    f = "function:demo::"
+    return make(spark, [(f + "index", "index", "demo::index", "src/main.rs", 10), (f + "analyzer::index", "index", "demo::analyzer::index", "src/analyzer.rs", 30), (f + "helper", "helper", "demo::helper", "src/main.rs", 50)], [(f + "index", f + "helper", "calls", None)])
 
 
 @pytest.fixture(scope="module")
@@ -31,10 +31,10 @@ def risky(spark):
 
 
 def test_lookup_prefers_exact_names(ambiguous):
-    assert [r.qualified_name for r in lookup.find_nodes(ambiguous, "index").collect()] == ["crabs::index", "crabs::analyzer::index"]
-    assert lookup.require_unique(ambiguous, "crabs::index")["id"] == "function:crabs::index"
-    assert lookup.require_unique(ambiguous, "analyzer::index")["id"] == "function:crabs::analyzer::index"
-    with pytest.raises(lookup.Ambiguous, match="crabs::analyzer::index"):
+    assert [r.qualified_name for r in lookup.find_nodes(ambiguous, "index").collect()] == ["demo::index", "demo::analyzer::index"]
+    assert lookup.require_unique(ambiguous, "demo::index")["id"] == "function:demo::index"
+    assert lookup.require_unique(ambiguous, "analyzer::index")["id"] == "function:demo::analyzer::index"
+    with pytest.raises(lookup.Ambiguous, match="demo::analyzer::index"):
         lookup.require_unique(ambiguous, "index")
     with pytest.raises(lookup.NotFound, match="helper"):
         lookup.require_unique(ambiguous, "helpre")
@@ -43,17 +43,17 @@ def test_lookup_prefers_exact_names(ambiguous):
 def test_modules(spark):
     g = make(
         spark,
-        [("file:src/main.rs", "src/main.rs", "src/main.rs", "src/main.rs", 1), ("module:crabs", "crabs", "crabs", "src/main.rs", 1), ("module:crabs::model", "model", "crabs::model", "src/main.rs", 12), ("module:crabs::model#2", "crabs::model", "crabs::model", "src/model.rs", 1), ("function:crabs::main_fn", "main_fn", "crabs::main_fn", "src/main.rs", 3), ("struct:crabs::App", "App", "crabs::App", "src/main.rs", 5), ("struct:crabs::model::Node", "Node", "crabs::model::Node", "src/model.rs", 2)],
-        [("file:src/main.rs", "module:crabs", "module_file", None), *(("module:crabs", x, "declares", None) for x in ("module:crabs::model", "function:crabs::main_fn", "struct:crabs::App")), ("module:crabs::model#2", "struct:crabs::model::Node", "declares", None)],
+        [("file:src/main.rs", "src/main.rs", "src/main.rs", "src/main.rs", 1), ("module:demo", "demo", "demo", "src/main.rs", 1), ("module:demo::model", "model", "demo::model", "src/main.rs", 12), ("module:demo::model#2", "demo::model", "demo::model", "src/model.rs", 1), ("function:demo::main_fn", "main_fn", "demo::main_fn", "src/main.rs", 3), ("struct:demo::App", "App", "demo::App", "src/main.rs", 5), ("struct:demo::model::Node", "Node", "demo::model::Node", "src/model.rs", 2)],
+        [("file:src/main.rs", "module:demo", "module_file", None), *(("module:demo", x, "declares", None) for x in ("module:demo::model", "function:demo::main_fn", "struct:demo::App")), ("module:demo::model#2", "struct:demo::model::Node", "declares", None)],
     )
     assert lookup.scope_file(g, "src/main.rs").count() == 3
-    assert [r.id for r in lookup.scope_module(g, "crabs::model").collect()] == ["struct:crabs::model::Node"]
+    assert [r.id for r in lookup.scope_module(g, "demo::model").collect()] == ["struct:demo::model::Node"]
 
 
 def test_impact_risk(risky, ambiguous):
     r = impact.impact(risky, "function:target_fn").risk.first()
     assert (r.files, r.sites, r.score, r.level) == (3, 3, 17, "critical")
-    r = impact.impact(ambiguous, "function:crabs::analyzer::index").risk.first()
+    r = impact.impact(ambiguous, "function:demo::analyzer::index").risk.first()
     assert (r.score, r.level) == (0, "low")
     assert any("file" in h for h in impact.hints("critical", 3, 3, True, True, 2))
 
