@@ -46,11 +46,13 @@ _SCAN = re.compile(
     |(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])
     |(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![0-9A-Za-z])
     |(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
-    |(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]))
+    |(?P<phone>\+[0-9]{1,3}@S(?:\([0-9]{1,4}\)@S)?[0-9]{2,4}(?:@S[0-9]{2,4}){1,4}(?![0-9]))
     |(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
     |(?<![\w-])(?P<local>[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4})(?![\w-])
     |(?<![\w/.-])(?P<date>[0-9]{4}(?P<s>[-/])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])
-    |(?<![0-9])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])""",
+    |(?<![0-9])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"""
+    # parts of a phone number may be torn by marks
+    .replace("@S", r"[ .$%&*|!#-]{0,6}").replace("#-]", r"\#-]"),
     re.X,
 )
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
@@ -176,7 +178,7 @@ class Pseudonymiser:
         return f"{_SSN[a]:03d}-{g + 1:02d}-{n + 1:04d}"
 
     def phone(self, s: str) -> str | None:
-        code = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]{1,2}", s)
+        code = re.match(r"\+[0-9]{1,3}(?![0-9])|\+[0-9]{1,2}", s)
         head = code[0] if code else ""
         d = re.sub(r"\D", "", s[len(head) :])
         return head + self._fill(s[len(head) :], self._digits("phone", d)) if 7 <= len(d) <= 14 else None

@@ -59,6 +59,14 @@ def test_what_fails_its_check_stays(s):
     assert p.Pseudonymiser("k").text(f"see {s} so") == (f"see {s} so", 0)
 
 
+def test_numbers_torn_by_marks():
+    q = p.Pseudonymiser("k")
+    whole = re.sub(r"\D", "", q.text("+1 (017) 555-7713")[0])
+    for s in ("+1%%% (017)*** 555-7713&&&", "| +1 | (017) | 555-7713 |", "+1!! (017)!! 555-7713!!"):
+        new, n = q.text(s)
+        assert n == 1 and re.sub(r"\D", "", new) == whole and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", s)
+
+
 def test_unequal_values_stay_unequal():
     q = p.Pseudonymiser("k")
     cards = [f"453914880343{a}{b}{c}" for a, b, c in itertools.product("0123456789", repeat=3)]
