@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .graph import CodeGraph
+from .graph import SymbolGraph
 from .operators import commits as K
 from .operators import guide as G
 from .operators import health as H
@@ -55,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def answer(spark: SparkSession, g: CodeGraph, a: argparse.Namespace) -> str:
+def answer(spark: SparkSession, g: SymbolGraph, a: argparse.Namespace) -> str:
     name = " ".join(a.names)
     one = lambda: lookup.require_unique(g, a.names[0])["id"]
     by = lambda df, first, *rest: df.orderBy(F.desc(first), *rest).limit(a.limit)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 @dataclass
-class CodeGraph:
+class SymbolGraph:
     """``nodes`` (ord, id, kind, name, qualified_name, file, start_line, ...) and ``edges`` (ord, src, dst, kind, weight, ...).
 
     ``ord`` is the order in which rows were met; ties are broken by it.
@@ -24,7 +24,7 @@ class CodeGraph:
     profiles: list[dict] = field(default_factory=list)
     root: str = ""
 
-    def persist(self) -> CodeGraph:
+    def persist(self) -> SymbolGraph:
         """Keeps both tables in executors' memory and disk; a lost block is computed again."""
         return replace(self, nodes=self.nodes.persist(StorageLevel.MEMORY_AND_DISK), edges=self.edges.persist(StorageLevel.MEMORY_AND_DISK))
 

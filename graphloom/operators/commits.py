@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from .metrics import file_degrees
 
 
@@ -35,7 +35,7 @@ def cochange(commits: DataFrame) -> DataFrame:
     return two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def hotspots(g: CodeGraph, commits: DataFrame) -> DataFrame:
+def hotspots(g: SymbolGraph, commits: DataFrame) -> DataFrame:
     """(file, churn, degree, risk): churn plus the degree of the file in the graph.
 
     A path that the graph does not have takes the degree of the first graph

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from . import lookup, metrics, rank
 from .traverse import adjacency, bfs, read_order, seed_frame
 
@@ -21,7 +21,7 @@ class Guide:
     quality: DataFrame
 
 
-def guide(g: CodeGraph, query: str = "", depth: int = 2, limit: int = 20, **stages) -> Guide:
+def guide(g: SymbolGraph, query: str = "", depth: int = 2, limit: int = 20, **stages) -> Guide:
     """Roots by retrieval if it has data, else by text; without a query, the likely entry points."""
     if query and stages:
         roots = [r.id for r in rank.retrieve(g, query, min(limit, 8), limit * 6, **stages).collect()]
@@ -34,7 +34,7 @@ def guide(g: CodeGraph, query: str = "", depth: int = 2, limit: int = 20, **stag
     return Guide(roots, read_order(g, roots, limit), around("in"), around("out"), metrics.quality(g))
 
 
-def overview(g: CodeGraph, query: str = "", nodes: int = 28, edges: int = 80) -> DataFrame:
+def overview(g: SymbolGraph, query: str = "", nodes: int = 28, edges: int = 80) -> DataFrame:
     """(src, dst, kind, weight): edges among the nodes that matter most, by degree or by search."""
     top = lookup.ranked_nodes(g, query, 50) if query else g.ranked.where("kind != 'project'").orderBy(F.desc("degree"), "id").limit(50)
     first = top.orderBy(F.desc("score"), "kind", "qualified_name", "id").limit(nodes) if query else top.orderBy(F.desc("degree"), "id").limit(nodes)

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from ..runtime import saved
 from .traverse import bfs, closure_sizes
 
 DEAD_KINDS = ("function", "method", "struct", "enum", "trait")
 
 
-def file_deps(g: CodeGraph) -> DataFrame:
+def file_deps(g: SymbolGraph) -> DataFrame:
     """(f, t): module f calls or imports something of module t, by edges that are certain."""
     of_impl = g.edges.where((F.col("kind") == "has_method") & F.col("src").startswith("impl:")).select("dst").distinct()
     e = g.edges.where(F.col("kind").isin("calls", "imports") & ~F.col("certainty").isin("inferred", "possible")).join(of_impl, "dst", "left_anti").select("src", "dst")
@@ -37,7 +37,7 @@ def distinct_cycles(found: DataFrame) -> DataFrame:
     return found.withColumn("key", key).dropDuplicates(["key"]).drop("key")
 
 
-def god_modules(g: CodeGraph, meaningful: int = 40, lines: int = 1200) -> DataFrame:
+def god_modules(g: SymbolGraph, meaningful: int = 40, lines: int = 1200) -> DataFrame:
     """(module, nodes, symbols, meaningful, lines) of modules that are too large."""
     n = g.nodes.where("file is not null").withColumn("module", C.module_path(F.col("file")))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
@@ -50,14 +50,14 @@ def god_modules(g: CodeGraph, meaningful: int = 40, lines: int = 1200) -> DataFr
     return m.where((F.col("meaningful") >= meaningful) | (F.col("lines") >= lines))
 
 
-def dead_public(g: CodeGraph) -> DataFrame:
+def dead_public(g: SymbolGraph) -> DataFrame:
     """Public symbols that no edge touches."""
     touched = g.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     n = g.nodes.where((F.col("visibility") == "pub") & F.col("kind").isin(*DEAD_KINDS) & ~F.coalesce(F.contains("file", F.lit("fixtures")), F.lit(False)))
     return n.join(touched, "id", "left_anti").select("id", "kind", "file")
 
 
-def health(g: CodeGraph) -> DataFrame:
+def health(g: SymbolGraph) -> DataFrame:
     """(score, label, cycles, god_modules, dead_public, warnings), one row."""
     counts = [cycles(file_deps(g)).agg(F.count(F.lit(1)).alias("cycles")), god_modules(g).agg(F.count(F.lit(1)).alias("god_modules")), dead_public(g).agg(F.count(F.lit(1)).alias("dead_public"))]
     row = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).withColumn("warnings", F.lit(len(g.warnings)).cast("bigint"))
@@ -69,7 +69,7 @@ def health(g: CodeGraph) -> DataFrame:
     return row.withColumn("score", score).withColumn("label", label).select("score", "label", "cycles", "god_modules", "dead_public", "warnings")
 
 
-def deps_matrix(g: CodeGraph, kinds: tuple[str, ...] = ("calls", "imports", "uses_type", "returns"), text: str = "") -> DataFrame:
+def deps_matrix(g: SymbolGraph, kinds: tuple[str, ...] = ("calls", "imports", "uses_type", "returns"), text: str = "") -> DataFrame:
     """(f, t, weight): weights of edges between clusters."""
     n = g.nodes.where("file is not null").select("id", C.cluster_key(F.col("file")).alias("c"))
     e = g.edges.where(F.col("kind").isin(*kinds)).select("src", "dst", "weight")
@@ -96,7 +96,7 @@ def chains(matrix: DataFrame, max_nodes: int = 6) -> DataFrame:
     return open_.select("start", F.array_join("path", " > ").alias("chain"), F.size("path").alias("length")).where("length >= 3")
 
 
-def fanout(g: CodeGraph) -> DataFrame:
+def fanout(g: SymbolGraph) -> DataFrame:
     """(file, fan_out, fan_in): other files at the far end of edges of any kind."""
     n = g.nodes.where("file is not null").select("id", "file")
     a, b = n.select(F.col("id").alias("src"), F.col("file").alias("f")), n.select(F.col("id").alias("dst"), F.col("file").alias("t"))

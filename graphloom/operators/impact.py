@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from .traverse import adjacency, bfs, seed_frame, walk
 
 UNKNOWN = "<unknown>"
@@ -29,14 +29,14 @@ def files_affected(callers: DataFrame) -> DataFrame:
     return by.select("file", F.size("names").alias("n_symbols"), F.array_join(F.slice("names", 1, 5), ", ").alias("examples"))
 
 
-def call_sites(g: CodeGraph, node_id: str) -> DataFrame:
+def call_sites(g: SymbolGraph, node_id: str) -> DataFrame:
     """(caller, site, call_style): every call edge into a node, placed by the caller's file and line."""
     e = g.edges.where((F.col("dst") == node_id) & (F.col("kind") == "calls")).select(F.col("src").alias("id"), "call_style", F.col("ord").alias("edge_ord"))
     n = g.nodes.select("id", "file", "start_line")
     return e.join(n, "id").select(F.col("id").alias("caller"), F.concat_ws(":", F.coalesce("file", F.lit(UNKNOWN)), F.col("start_line").cast("string")).alias("site"), F.coalesce("call_style", F.lit("direct")).alias("call_style"))
 
 
-def risk(g: CodeGraph, node_id: str, callers: DataFrame, dependencies: DataFrame) -> DataFrame:
+def risk(g: SymbolGraph, node_id: str, callers: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(files, sites, dependencies, score, level) of one node."""
     files = callers.where("file is not null").agg(F.countDistinct("file").alias("files"))
     sites = call_sites(g, node_id).agg(F.count(F.lit(1)).alias("sites"), F.coalesce(F.bool_or(F.col("call_style") == "method"), F.lit(False)).alias("by_method"))
@@ -47,7 +47,7 @@ def risk(g: CodeGraph, node_id: str, callers: DataFrame, dependencies: DataFrame
     return me.crossJoin(files).crossJoin(sites).crossJoin(needs).withColumn("score", score).withColumn("level", level).select("files", "sites", "dependencies", "score", "level")
 
 
-def impact(g: CodeGraph, node_id: str, depth: int = 2, limit: int | None = 100) -> Impact:
+def impact(g: SymbolGraph, node_id: str, depth: int = 2, limit: int | None = 100) -> Impact:
     callers = walk(g, node_id, "in", ("calls",), depth, limit)
     dependents = walk(g, node_id, "in", (), depth, limit)
     dependencies = walk(g, node_id, "out", (), depth, limit)
@@ -67,7 +67,7 @@ def hints(level: str, n_files: int, n_sites: int, public: bool, by_method: bool,
     return out
 
 
-def risks(g: CodeGraph, ids: list[str], depth: int = 2, limit: int | None = 100) -> DataFrame:
+def risks(g: SymbolGraph, ids: list[str], depth: int = 2, limit: int | None = 100) -> DataFrame:
     """(id, files, sites, dependencies, score, level) of many nodes by two walks, not two for each."""
     seeds = seed_frame(g, *ids)
     known = g.nodes.select(F.col("id").alias("next"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 
 FILTERED_KINDS = ("function", "method", "struct", "enum", "trait")
 
@@ -19,7 +19,7 @@ class Ambiguous(LookupError):
     pass
 
 
-def find_nodes(g: CodeGraph, query: str) -> DataFrame:
+def find_nodes(g: SymbolGraph, query: str) -> DataFrame:
     """Nodes of the best tier that has any: exact id or qualified name, then name, then qualified suffix.
 
     An id also matches without its last character, if that is a digit or ``#``.
@@ -32,13 +32,13 @@ def find_nodes(g: CodeGraph, query: str) -> DataFrame:
     return found.join(F.broadcast(best), "tier").orderBy("ord")
 
 
-def suggest(g: CodeGraph, query: str) -> DataFrame:
+def suggest(g: SymbolGraph, query: str) -> DataFrame:
     """Up to three names nearest by edit distance."""
     near = g.nodes.select("name", "ord", F.levenshtein("name", F.lit(query)).alias("distance")).orderBy("distance", "ord").limit(3)
     return near.where(F.col("distance") < max(len(query.encode()), 5))
 
 
-def require_unique(g: CodeGraph, query: str) -> dict:
+def require_unique(g: SymbolGraph, query: str) -> dict:
     """The one node that a query names; an error tells what else there is."""
     rows = find_nodes(g, query).select("id", "kind", "name", "qualified_name", "file").limit(11).collect()
     if not rows:
@@ -49,7 +49,7 @@ def require_unique(g: CodeGraph, query: str) -> dict:
     return rows[0].asDict()
 
 
-def adjacent(g: CodeGraph, node_id: str, direction: str, kinds: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+def adjacent(g: SymbolGraph, node_id: str, direction: str, kinds: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
     """(id, kind, qualified_name, edge_kind, weight) one edge away, in edge order."""
     here, there = ("src", "dst") if direction == "out" else ("dst", "src")
     e = g.edges.where(F.col(here) == node_id)
@@ -61,7 +61,7 @@ def adjacent(g: CodeGraph, node_id: str, direction: str, kinds: tuple[str, ...]
     return out.select("id", "kind", "qualified_name", "edge_kind", "weight")
 
 
-def scope_file(g: CodeGraph, path: str, limit: int = 500) -> DataFrame:
+def scope_file(g: SymbolGraph, path: str, limit: int = 500) -> DataFrame:
     """What a file's module declares; a file without a module node declares by itself."""
     files = g.nodes.where((F.col("kind") == "file") & ((F.col("name") == path) | F.col("name").endswith(path) | F.col("qualified_name").endswith(path)))
     first = files.orderBy("ord").limit(1).select(F.col("id").alias("file_id"))
@@ -71,7 +71,7 @@ def scope_file(g: CodeGraph, path: str, limit: int = 500) -> DataFrame:
     return e.select(F.col("dst").alias("id"), F.col("ord").alias("edge_ord")).join(g.nodes.select("id", "kind", "qualified_name"), "id").orderBy("edge_ord").limit(limit).select("id", "kind", "qualified_name")
 
 
-def scope_module(g: CodeGraph, query: str, limit: int = 500) -> DataFrame:
+def scope_module(g: SymbolGraph, query: str, limit: int = 500) -> DataFrame:
     """What a module declares; of several of that name, the first that declares anything."""
     mods = find_nodes(g, query).where("kind = 'module'")
     declares = g.edges.where("kind = 'declares'").select(F.col("src").alias("id")).distinct().withColumn("has", F.lit(True))
@@ -80,7 +80,7 @@ def scope_module(g: CodeGraph, query: str, limit: int = 500) -> DataFrame:
     return e.select(F.col("dst").alias("id"), F.col("ord").alias("edge_ord")).join(g.nodes.select("id", "kind", "qualified_name"), "id").orderBy("edge_ord").limit(limit).select("id", "kind", "qualified_name")
 
 
-def callers(g: CodeGraph) -> DataFrame:
+def callers(g: SymbolGraph) -> DataFrame:
     """(id, n_callers, all_tests): incoming call edges of each called node."""
     calls = g.edges.where("kind = 'calls'").join(g.nodes.select(F.col("id").alias("src"), C.is_test_like(F.col("name"), F.col("file")).alias("test")), "src")
     return calls.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_callers"), F.bool_and("test").alias("all_tests"))
@@ -88,7 +88,7 @@ def callers(g: CodeGraph) -> DataFrame:
 
 def filter_symbols(
     nodes: DataFrame,
-    g: CodeGraph,
+    g: SymbolGraph,
     *,
     visibility: str | None = None,
     no_docs: bool = False,
@@ -120,7 +120,7 @@ def filter_symbols(
     return n.where(cond)
 
 
-def ranked_nodes(g: CodeGraph, query: str, limit: int | None = 50, points: int = 20, with_project: bool = False, need_text: bool = False) -> DataFrame:
+def ranked_nodes(g: SymbolGraph, query: str, limit: int | None = 50, points: int = 20, with_project: bool = False, need_text: bool = False) -> DataFrame:
     """(id, kind, qualified_name, score): text search with degree as a tie of merit.
 
     Without a term every node scores 1 and its degree.
@@ -136,12 +136,12 @@ def ranked_nodes(g: CodeGraph, query: str, limit: int | None = 50, points: int =
     return n.select("ord", "id", "kind", "name", "qualified_name", "file", "visibility", "docs", "degree", "score")
 
 
-def search_nodes(g: CodeGraph, query: str, limit: int = 6) -> DataFrame:
+def search_nodes(g: SymbolGraph, query: str, limit: int = 6) -> DataFrame:
     """The guide's search: 25 points a term, projects included, a term is needed."""
     return ranked_nodes(g, query, limit, 25, True, True)
 
 
-def symbols(g: CodeGraph, query: str = "", kind: str | None = None, limit: int | None = 50, filter_first: bool = False, **conditions) -> DataFrame:
+def symbols(g: SymbolGraph, query: str = "", kind: str | None = None, limit: int | None = 50, filter_first: bool = False, **conditions) -> DataFrame:
     """Ranked nodes that meet the conditions; the limit applies before them unless ``filter_first``."""
     n = ranked_nodes(g, query, None if filter_first else limit)
     if kind:
@@ -152,12 +152,12 @@ def symbols(g: CodeGraph, query: str = "", kind: str | None = None, limit: int |
     return n
 
 
-def file_symbols(g: CodeGraph, file: str) -> DataFrame:
+def file_symbols(g: SymbolGraph, file: str) -> DataFrame:
     """The symbols of a file from top to bottom."""
     return g.nodes.where((F.col("file") == file) & ~C.is_container(F.col("kind"))).orderBy("start_line", "ord").select("id", "kind", "start_line")
 
 
-def symbol_facts(g: CodeGraph, query: str, limit: int = 20, children: int = 40) -> DataFrame:
+def symbol_facts(g: SymbolGraph, query: str, limit: int = 20, children: int = 40) -> DataFrame:
     """(id, child_id): nodes whose text holds a term of three letters or more, with what they declare."""
     words = [w for w in C.terms(query) if len(w) > 2]
     found = g.nodes.where(C.hits(C.haystack(), words, 1) > 0) if words else g.nodes.where("signature is not null")
@@ -167,7 +167,7 @@ def symbol_facts(g: CodeGraph, query: str, limit: int = 20, children: int = 40)
     return found.join(kids.select("id", "child_id"), "id", "left")
 
 
-def similar(g: CodeGraph, node_id: str, limit: int = 20) -> DataFrame:
+def similar(g: SymbolGraph, node_id: str, limit: int = 20) -> DataFrame:
     """(id, shared, signature_score, score): nodes of the same kind with common callees or like signatures."""
     words = SIGNATURE_WORDS
     me = g.nodes.where(F.col("id") == node_id).select(F.col("kind").alias("my_kind"), F.coalesce("signature", F.lit("")).alias("my_signature"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stats(g: CodeGraph) -> DataFrame:
+def stats(g: SymbolGraph) -> DataFrame:
     """(aspect, key, n): nodes by kind, edges by kind, source and certainty, files, symbols, all nodes and edges."""
     by = F.explode(F.array(*(F.struct(F.lit(a).alias("aspect"), F.col(c).alias("key")) for a, c in (("edge_kind", "kind"), ("source", "source"), ("certainty", "certainty")))))
     edges = g.edges.select(by.alias("s")).groupBy("s.aspect", "s.key").agg(F.count(F.lit(1)).alias("n"))
@@ -23,12 +23,12 @@ def stats(g: CodeGraph) -> DataFrame:
     return nodes.unionByName(edges).unionByName(flat)
 
 
-def hot_symbols(g: CodeGraph, limit: int = 20) -> DataFrame:
+def hot_symbols(g: SymbolGraph, limit: int = 20) -> DataFrame:
     """Symbols of highest degree."""
     return g.ranked.where(~C.is_container(F.col("kind"))).orderBy(F.desc("degree"), "qualified_name", "id").limit(limit).select("id", "kind", "qualified_name", "degree")
 
 
-def top_files(g: CodeGraph, limit: int = 30) -> DataFrame:
+def top_files(g: SymbolGraph, limit: int = 30) -> DataFrame:
     """File nodes by their number of edges, in and out."""
     files = g.nodes.where("kind = 'file'")
     ends = g.edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
@@ -37,7 +37,7 @@ def top_files(g: CodeGraph, limit: int = 30) -> DataFrame:
     return both.orderBy(F.desc(F.col("edges_in") + F.col("edges_out")), "file", "id").limit(limit).select("file", "edges_in", "edges_out", "lines")
 
 
-def quality(g: CodeGraph) -> DataFrame:
+def quality(g: SymbolGraph) -> DataFrame:
     """One row: how far the edges can be trusted, 0 to 100."""
     n = lambda *v: F.sum(F.when(F.col("certainty").isin(*v), 1).otherwise(0)).cast("bigint")
     c = g.edges.agg(n("definite", "confirmed").alias("trusted"), n("inferred").alias("inferred"), n("possible").alias("possible")).fillna(0)
@@ -47,7 +47,7 @@ def quality(g: CodeGraph) -> DataFrame:
     return c.withColumn("score", score).withColumn("label", label).select("score", "label", F.col("trusted").alias("trusted_edges"), (F.col("inferred") + F.col("possible")).alias("uncertain_edges"))
 
 
-def clusters(g: CodeGraph) -> DataFrame:
+def clusters(g: SymbolGraph) -> DataFrame:
     """(cluster, files, nodes, symbols, degree), by degree."""
     n = g.ranked.where("file is not null").withColumn("cluster", C.cluster_key(F.col("file")))
     return n.groupBy("cluster").agg(
@@ -55,14 +55,14 @@ def clusters(g: CodeGraph) -> DataFrame:
     )
 
 
-def cluster_hot_symbols(g: CodeGraph, top: int = 8) -> DataFrame:
+def cluster_hot_symbols(g: SymbolGraph, top: int = 8) -> DataFrame:
     """(cluster, rank, qualified_name, degree): the symbols of highest degree of each cluster."""
     n = g.ranked.where(F.col("file").isNotNull() & ~C.is_container(F.col("kind"))).withColumn("cluster", C.cluster_key(F.col("file")))
     w = Window.partitionBy("cluster").orderBy(F.desc("degree"), "qualified_name", "id")
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("cluster", "rank", "qualified_name", "degree")
 
 
-def entries(g: CodeGraph, target_paths: list[str] = (), limit: int = 20) -> DataFrame:
+def entries(g: SymbolGraph, target_paths: list[str] = (), limit: int = 20) -> DataFrame:
     """(id, score): likely entry points."""
     name, file = F.col("name"), F.coalesce("file", F.lit(""))
     main_file = file.endswith("src/main.rs") | file.endswith("src/lib.rs")
@@ -85,7 +85,7 @@ def entries(g: CodeGraph, target_paths: list[str] = (), limit: int = 20) -> Data
     return n.where("reasons > 0 or score >= 10").orderBy(F.desc("score"), "file", "qualified_name", "id").limit(limit).select("id", "score", "reasons")
 
 
-def file_degrees(g: CodeGraph) -> DataFrame:
+def file_degrees(g: SymbolGraph) -> DataFrame:
     """(file, degree): the weights of edge ends in each file."""
     ends = g.edges.select(F.explode(F.array("src", "dst")).alias("id"), "weight")
     return ends.join(g.nodes.where("file is not null").select("id", "file"), "id").groupBy("file").agg(F.sum("weight").alias("degree"))

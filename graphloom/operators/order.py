@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from ..runtime import saved
 from .impact import risks
 from .lookup import find_nodes
@@ -94,7 +94,7 @@ def components(needs: dict[str, set[str]]) -> list[list[str]]:
     return out
 
 
-def refactor_order(g: CodeGraph, names: list[str], depth: int = 2, limit: int = 50) -> tuple[DataFrame, list[list[str]], list[str]]:
+def refactor_order(g: SymbolGraph, names: list[str], depth: int = 2, limit: int = 50) -> tuple[DataFrame, list[list[str]], list[str]]:
     """((step, id, score, level), cycles, unresolved names) for a set of symbols to change."""
     chosen, missing = {}, []
     for name in names[:limit]:

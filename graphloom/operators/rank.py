@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 
 #: Bytes of a signature or docs that enter a node's text.
 CUT = 420
@@ -16,7 +16,7 @@ def prior(kind: Column) -> Column:
     return F.when(kind.isin("function", "method"), 9).when(kind.isin("struct", "enum", "trait", "impl", "type_alias"), 7).when(kind.isin("module", "file"), 5).otherwise(1)
 
 
-def document_text(g: CodeGraph) -> DataFrame:
+def document_text(g: SymbolGraph) -> DataFrame:
     """(id, kind, text) of nodes worth retrieving."""
     cut = lambda c: F.when(F.length(c) > CUT, F.concat(F.substring(c, 1, CUT), F.lit("..."))).otherwise(F.coalesce(c, F.lit("")))
     lines = [F.concat(F.lit(f"{k}: "), v) for k, v in (("name", F.col("name")), ("qualified", F.col("qualified_name")), ("kind", F.col("kind")), ("file", F.coalesce("file", F.lit(""))), ("visibility", F.coalesce("visibility", F.lit(""))), ("signature", cut(F.col("signature"))), ("docs", cut(F.col("docs"))))]
@@ -55,6 +55,6 @@ def nearest(embeddings: DataFrame, query_vector: list[float], limit: int = 10) -
     return embeddings.select("id", C.cosine(F.col("embedding"), q).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
-def retrieve(g: CodeGraph, query: str, limit: int = 10, candidates: int = 80, **stages) -> DataFrame:
+def retrieve(g: SymbolGraph, query: str, limit: int = 10, candidates: int = 80, **stages) -> DataFrame:
     """The cascade over a graph's nodes."""
     return cascade(document_text(g), query, limit=limit, candidates=candidates, **stages)

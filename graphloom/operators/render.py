@@ -10,7 +10,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from . import health as H
 from . import metrics as M
 
@@ -29,7 +29,7 @@ def to_json(kind: str, df: DataFrame, **more) -> str:
     return json.dumps({"kind": kind, **more, "count": len(rows), "rows": rows}, ensure_ascii=False)
 
 
-def repo_map(g: CodeGraph, budget: int = 8000, top: int = 20) -> str:
+def repo_map(g: SymbolGraph, budget: int = 8000, top: int = 20) -> str:
     """Markdown: counts, clusters with their main symbols, entry points."""
     out = ["# Map", ""]
     out += [f"- {r.key}: {r.n}" for r in M.stats(g).where("aspect = 'total'").orderBy("key").collect()]
@@ -44,7 +44,7 @@ def repo_map(g: CodeGraph, budget: int = 8000, top: int = 20) -> str:
     return within("\n".join(out) + "\n", budget)
 
 
-def report(g: CodeGraph, top: int = 20) -> str:
+def report(g: SymbolGraph, top: int = 20) -> str:
     """Markdown: health, quality, oversized modules, dead code, files by use."""
     h, q = H.health(g).first(), M.quality(g).first()
     out = ["# Report", "", f"- health: {h.score} ({h.label}): {h.cycles} cycles, {h.god_modules} oversized modules, {h.dead_public} unused public symbols, {h.warnings} warnings", f"- edges: {q.score} ({q.label}), {q.uncertain_edges} uncertain", "", "## Oversized modules", ""]

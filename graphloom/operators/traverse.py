@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from ..runtime import saved
 
 SEEN = "seed string, node string, depth int, parent string, edge_ord bigint, rank bigint"
@@ -64,25 +64,25 @@ def bfs(steps: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None
     return out if keep_start else out.where("depth > 0")
 
 
-def seed_frame(g: CodeGraph, *ids: str) -> DataFrame:
+def seed_frame(g: SymbolGraph, *ids: str) -> DataFrame:
     return g.nodes.sparkSession.createDataFrame([(i,) for i in ids], "seed string")
 
 
-def walk(g: CodeGraph, node_id: str, direction: str, kinds: tuple[str, ...] = (), depth: int = 2, limit: int | None = 100, keep_start: bool = False) -> DataFrame:
+def walk(g: SymbolGraph, node_id: str, direction: str, kinds: tuple[str, ...] = (), depth: int = 2, limit: int | None = 100, keep_start: bool = False) -> DataFrame:
     """(id, kind, qualified_name, file, depth, parent): what a node reaches, or is reached from."""
     steps = adjacency(g.edges, direction, kinds).join(g.nodes.select(F.col("id").alias("next")), "next", "left_semi")
     found = bfs(steps, seed_frame(g, node_id), depth, limit, keep_start)
     return found.join(g.nodes.select(F.col("id").alias("node"), "kind", "name", "qualified_name", "file"), "node").select(F.col("node").alias("id"), "kind", "name", "qualified_name", "file", "depth", "parent", "rank")
 
 
-def trace(g: CodeGraph, node_id: str, direction: str = "both", depth: int = 2, limit: int | None = 100) -> DataFrame:
+def trace(g: SymbolGraph, node_id: str, direction: str = "both", depth: int = 2, limit: int | None = 100) -> DataFrame:
     """Callers (up) and callees (down), marked by ``way``."""
     ways = {"up": ("in",), "down": ("out",), "both": ("in", "out")}[direction]
     parts = [walk(g, node_id, w, ("calls",), depth, limit).withColumn("way", F.lit("up" if w == "in" else "down")) for w in ways]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def shortest_path(g: CodeGraph, start: str, end: str, max_depth: int = 6) -> DataFrame:
+def shortest_path(g: SymbolGraph, start: str, end: str, max_depth: int = 6) -> DataFrame:
     """(position, id) of a shortest directed path over all edges; none if there is none of up to ``max_depth`` steps.
 
     Of equal paths it is the one whose ids come first in order, step by step.
@@ -108,7 +108,7 @@ def closure_sizes(pairs: DataFrame, depth: int = 5) -> DataFrame:
     return found.where("node != seed").groupBy(F.col("seed").alias("start")).agg(F.count(F.lit(1)).alias("reached"))
 
 
-def neighborhood(g: CodeGraph, node_id: str, depth: int = 2, kinds: tuple[str, ...] = (), sources: tuple[str, ...] = (), certainties: tuple[str, ...] = (), max_nodes: int | None = 180) -> DataFrame:
+def neighborhood(g: SymbolGraph, node_id: str, depth: int = 2, kinds: tuple[str, ...] = (), sources: tuple[str, ...] = (), certainties: tuple[str, ...] = (), max_nodes: int | None = 180) -> DataFrame:
     """(id, depth): nodes around one, edges taken either way, filtered by kind, source and certainty."""
     e = g.edges
     for column, values in (("kind", kinds), ("source", sources), ("certainty", certainties)):
@@ -119,7 +119,7 @@ def neighborhood(g: CodeGraph, node_id: str, depth: int = 2, kinds: tuple[str, .
     return found.select(F.col("node").alias("id"), "depth")
 
 
-def read_order(g: CodeGraph, roots: list[str], limit: int = 20) -> DataFrame:
+def read_order(g: SymbolGraph, roots: list[str], limit: int = 20) -> DataFrame:
     """(position, id): each root, then what it declares, holds or calls, without repeats of a place."""
     spark = g.nodes.sparkSession
     r = spark.createDataFrame(list(enumerate(roots)), "root_rank int, id string")
@@ -131,7 +131,7 @@ def read_order(g: CodeGraph, roots: list[str], limit: int = 20) -> DataFrame:
     return first.select((F.row_number().over(Window.orderBy("root_rank", "pos", "id")) - 1).alias("position"), "id")
 
 
-def test_impact(g: CodeGraph, query: str, depth: int = 4, limit: int = 50) -> DataFrame:
+def test_impact(g: SymbolGraph, query: str, depth: int = 4, limit: int = 50) -> DataFrame:
     """(test, depth, score): tests whose calls reach a symbol; the nearer, the higher."""
     target = g.nodes.where((F.col("name") == query) | (F.col("qualified_name") == query) | F.col("qualified_name").endswith("::" + query)).select("id").limit(2).collect()
     if len(target) != 1:
@@ -141,7 +141,7 @@ def test_impact(g: CodeGraph, query: str, depth: int = 4, limit: int = 50) -> Da
     return tests.withColumn("score", F.lit(1.0) / F.col("depth")).orderBy(F.desc("score"), "qualified_name", "id").limit(limit).select("id", "depth", "score")
 
 
-def static_tests(g: CodeGraph, text: str = "", limit: int = 50) -> DataFrame:
+def static_tests(g: SymbolGraph, text: str = "", limit: int = 50) -> DataFrame:
     """Functions that look like tests, those that mention ``text`` if it is given."""
     n = g.nodes.where(F.col("kind").isin("function", "method") & C.is_test_like(F.col("name"), F.col("file")))
     if text:

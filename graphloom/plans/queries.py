@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from ..operators import commits as K
 from ..operators import guide as reading
 from ..operators import health as H
@@ -49,7 +49,7 @@ def query(oracle: str | None = None):
     return put
 
 
-def star(spark: SparkSession, d: str) -> CodeGraph:
+def star(spark: SparkSession, d: str) -> SymbolGraph:
     return star_graph(spark, d)
 
 
@@ -57,11 +57,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def hub(g: CodeGraph) -> str:
+def hub(g: SymbolGraph) -> str:
     return g.edges.where("kind = 'calls'").groupBy("dst").count().orderBy(F.desc("count"), "dst").first().dst
 
 
-def fan(g: CodeGraph) -> str:
+def fan(g: SymbolGraph) -> str:
     return g.edges.where("kind = 'calls'").groupBy("src").count().orderBy(F.desc("count"), "src").first().src
 
 
@@ -148,7 +148,7 @@ def file_degrees(spark, d):
 _PICK = "SELECT min(qualified_name) AS q FROM nodes WHERE kind = 'method'"
 
 
-def _pick(g: CodeGraph) -> str:
+def _pick(g: SymbolGraph) -> str:
     return g.nodes.where("kind = 'method'").agg(F.min("qualified_name")).first()[0]
 
 
@@ -264,7 +264,7 @@ def _reach(start: str, here: str, there: str, depth: int, where: str = "TRUE", k
     return walk, f"SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk {'' if keep else 'WHERE depth > 0 '}GROUP BY id"
 
 
-def _traversal(name: str, start_sql: str, start: Callable[[CodeGraph], str], way: str, kinds: tuple[str, ...], depth: int) -> None:
+def _traversal(name: str, start_sql: str, start: Callable[[SymbolGraph], str], way: str, kinds: tuple[str, ...], depth: int) -> None:
     here, there = ("src", "dst") if way == "out" else ("dst", "src")
     where = f"e.kind IN ({', '.join(repr(k) for k in kinds)})" if kinds else "TRUE"
     cte, select = _reach(start_sql, here, there, depth, where)

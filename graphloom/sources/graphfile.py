@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from ..operators.sets import merge
 
 #: Folder and file of a project's graph.
@@ -33,7 +33,7 @@ def flat_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.select("ord", "id", "kind", "name", "qualified_name", "file", F.col("range.start_line").alias("start_line"), F.col("range.end_line").alias("end_line"), "visibility", "signature", "docs", F.coalesce(F.element_at("metrics", "lines"), F.lit(0)).alias("lines"), "metrics")
 
 
-def load(spark: SparkSession, path: str) -> CodeGraph:
+def load(spark: SparkSession, path: str) -> SymbolGraph:
     """Reads a document; gzip is told by the content, not by the name.
 
     A document that lacks a field that must be there, or holds an unknown kind,
@@ -62,10 +62,10 @@ def load(spark: SparkSession, path: str) -> CodeGraph:
     nodes = doc.select(F.posexplode("nodes").alias("ord", "n")).select(F.col("ord").cast("bigint"), "n.*")
     edges = doc.select(F.posexplode("edges").alias("ord", "e")).select(F.col("ord").cast("bigint"), "e.*").withColumnsRenamed({"from": "src", "to": "dst"})
     project = found.get("project") or {}
-    return CodeGraph(flat_nodes(nodes), edges, project.get("packages") or [], found.get("warnings") or [], found.get("profiles") or [], project.get("root") or "")
+    return SymbolGraph(flat_nodes(nodes), edges, project.get("packages") or [], found.get("warnings") or [], found.get("profiles") or [], project.get("root") or "")
 
 
-def load_many(spark: SparkSession, paths: list[str] = (), project: str = ".") -> CodeGraph:
+def load_many(spark: SparkSession, paths: list[str] = (), project: str = ".") -> SymbolGraph:
     """No path: the project's own graph, else all in its folder; several: their union."""
     if not paths:
         own = default_path(project)
@@ -73,7 +73,7 @@ def load_many(spark: SparkSession, paths: list[str] = (), project: str = ".") ->
     return merge([load(spark, p) for p in paths])
 
 
-def save(g: CodeGraph, path: str) -> None:
+def save(g: SymbolGraph, path: str) -> None:
     """Writes the JSON document, gzipped whatever its name.
 
     One document is one file, so this gathers the graph on the driver; large
@@ -95,11 +95,11 @@ def save(g: CodeGraph, path: str) -> None:
         json.dump(doc, f)
 
 
-def save_tables(g: CodeGraph, folder: str) -> None:
+def save_tables(g: SymbolGraph, folder: str) -> None:
     """Parquet; edges by kind, so that a query of one kind reads no other."""
     g.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
     g.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/edges")
 
 
-def load_tables(spark: SparkSession, folder: str) -> CodeGraph:
-    return CodeGraph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))
+def load_tables(spark: SparkSession, folder: str) -> SymbolGraph:
+    return SymbolGraph(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))

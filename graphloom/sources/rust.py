@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 from ..operators import link
 from ..runtime import saved
 from . import rust_syntax
@@ -74,7 +74,7 @@ def read_sources(spark: SparkSession, folder: str, include_tests: bool = True) -
     return files if include_tests else files.where(~F.col("path").rlike(r"(^|/)tests/"))
 
 
-def index(spark: SparkSession, folder: str, include_tests: bool = True, profile: str = "default") -> CodeGraph:
+def index(spark: SparkSession, folder: str, include_tests: bool = True, profile: str = "default") -> SymbolGraph:
     """The graph of a project.
 
     A file that cannot be parsed becomes a warning.  Names are resolved once
@@ -107,4 +107,4 @@ def index(spark: SparkSession, folder: str, include_tests: bool = True, profile:
     dispatch = link.trait_dispatch(edges, nodes).withColumns(common | {"kind": F.lit("possible_dispatch"), "call_style": F.lit(None).cast("string"), "evidence": F.lit(None).cast(edges.schema["evidence"].dataType), "source": F.lit("inferred"), "certainty": F.lit("possible"), "ord": F.lit(1 << 60)})
     edges = link.upsert(edges.unionByName(dispatch))
     warnings = [r.name for r in rows.where("what = 'warning'").select("name").collect()]
-    return CodeGraph(nodes.drop("path", "number"), saved(numbered(edges.drop("ord"), "src", "dst", "kind")), [package] if package else [], warnings, [{"name": profile, "features": [], "all_features": False, "no_default_features": False, "target": None}], folder)
+    return SymbolGraph(nodes.drop("path", "number"), saved(numbered(edges.drop("ord"), "src", "dst", "kind")), [package] if package else [], warnings, [{"name": profile, "features": [], "all_features": False, "no_default_features": False, "target": None}], folder)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import SymbolGraph
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -54,7 +54,7 @@ WITH_GRAPH = f"""nodes AS (SELECT *, row_number() OVER (ORDER BY id) AS ord FROM
 edges AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) AS ord FROM ({EDGES_SQL}) e0),
 degree AS (SELECT id, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT src AS id, weight FROM edges UNION ALL SELECT dst, weight FROM edges) d0 GROUP BY id)"""
 
-_GRAPHS: dict[tuple[str, str, int], CodeGraph] = {}
+_GRAPHS: dict[tuple[str, str, int], SymbolGraph] = {}
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -77,7 +77,7 @@ def _qualify(sql: str, table: str) -> str:
     return re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {{t_{table}}}", sql)
 
 
-def star_graph(spark: SparkSession, sf_dir: str, modulus: int = 50) -> CodeGraph:
+def star_graph(spark: SparkSession, sf_dir: str, modulus: int = 50) -> SymbolGraph:
     """The star graph of a folder, kept in the executors' storage for the session's next queries.
 
     ``modulus`` is the share of orders (one in so many) that give edges.
@@ -86,7 +86,7 @@ def star_graph(spark: SparkSession, sf_dir: str, modulus: int = 50) -> CodeGraph
     if key not in _GRAPHS:
         nodes = _run(spark, sf_dir, NODES_SQL)
         edges = _run(spark, sf_dir, EDGES_SQL.replace("% 50 = 0", f"% {modulus} = 0"))
-        _GRAPHS[key] = CodeGraph(numbered(nodes, "id"), numbered(edges, "src", "dst", "kind")).persist()
+        _GRAPHS[key] = SymbolGraph(numbered(nodes, "id"), numbered(edges, "src", "dst", "kind")).persist()
     return _GRAPHS[key]
 
 

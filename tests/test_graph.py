@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from graphloom.graph import CodeGraph
+from graphloom.graph import SymbolGraph
 from graphloom.operators import health, impact, link, lookup, order, render, sets, traverse
 from graphloom.sources import evidence, gitlog, graphfile
 from graphloom.streaming import refresh
@@ -13,7 +13,7 @@ from graphloom.streaming import refresh
 def make(spark, nodes, edges):
     n = spark.createDataFrame([(i, id_, id_.split(":", 1)[0], name, q, file, line, "pub", f"fn {name}()", None, 0) for i, (id_, name, q, file, line) in enumerate(nodes)], "ord long, id string, kind string, name string, qualified_name string, file string, start_line long, visibility string, signature string, docs string, lines long")
     e = spark.createDataFrame([(i, a, b, k, 1, "ast", "definite", s) for i, (a, b, k, s) in enumerate(edges)], "ord long, src string, dst string, kind string, weight long, source string, certainty string, call_style string")
-    return CodeGraph(n, e)
+    return SymbolGraph(n, e)
 
 
 @pytest.fixture(scope="module")
