@@ -46,7 +46,7 @@ _SCAN = re.compile(
     |(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])
     |(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![0-9A-Za-z])
     |(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
-    |(?P<phone>\+[0-9]{1,3}@S(?:\([0-9]{1,4}\)@S)?[0-9]{2,4}(?:@S[0-9]{2,4}){1,4}(?![0-9]))
+    |(?P<phone>\+[0-9]{1,3}@S(?:\([0-9]{1,4}\)@S)?[0-9]{2,4}(?:@S[0-9]{2,4}){1,4}(?![0-9]|\.[0-9]))
     |(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
     |(?<![\w-])(?P<local>[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4})(?![\w-])
     |(?<![\w/.-])(?P<date>[0-9]{4}(?P<s>[-/])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])

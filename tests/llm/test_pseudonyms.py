@@ -67,6 +67,14 @@ def test_numbers_torn_by_marks():
         assert n == 1 and re.sub(r"\D", "", new) == whole and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", s)
 
 
+def test_neighbours_stay_apart():
+    q = p.Pseudonymiser("k")
+    phone, ip, card = "+1 (826) 555-4081", "190.137.223.204", "4845168114407329"
+    alone = [q.text(x)[0] for x in (phone, ip, card)]
+    assert q.text(" ".join((phone, ip, phone, card, ip)))[0].count(" ") == 8
+    assert q.text(f"{phone} {ip}")[0] == f"{alone[0]} {alone[1]}" and q.text(f"{phone} {card}")[0] == f"{alone[0]} {alone[2]}"
+
+
 def test_unequal_values_stay_unequal():
     q = p.Pseudonymiser("k")
     cards = [f"453914880343{a}{b}{c}" for a, b, c in itertools.product("0123456789", repeat=3)]
