@@ -14,7 +14,7 @@ from ..operators import guide as reading
 from ..operators import health as H
 from ..operators import impact as I
 from ..operators import link, lookup, metrics, order, rank, sets, traverse
-from ..sources.star import EDGES_SQL, WITH_GRAPH, star_graph
+from ..sources.star import EDGES_SQL, KEYED_EDGES_SQL, WITH_GRAPH, star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -463,14 +463,14 @@ def fanout(spark, d):
 
 # --- orders ---------------------------------------------------------------------------------------------------------
 
-_PAIRS = "SELECT DISTINCT p AS f, t FROM (SELECT l_orderkey AS o, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS t FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 50 = 0) a) b WHERE t IS NOT NULL"
+_PAIRS = "SELECT DISTINCT p AS f, t FROM (SELECT l_orderkey AS o, l_partkey AS p, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS t FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a) b WHERE t IS NOT NULL"
 
 
 @query(
     f"WITH RECURSIVE pairs AS ({_PAIRS}), lv AS (SELECT x.id, 0 AS level FROM (SELECT f AS id FROM pairs UNION SELECT t FROM pairs) x WHERE x.id NOT IN (SELECT f FROM pairs) UNION SELECT p.f, l.level + 1 FROM lv l JOIN pairs p ON p.t = l.id) SELECT CAST(id AS VARCHAR) AS id, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY id"
 )
 def topo_levels(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey").distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     pairs = li.withColumn("t", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))).where("t is not null")
     return order.topo_levels(pairs.select(F.col("l_partkey").cast("string").alias("f"), F.col("t").cast("string").alias("t")))
 
@@ -530,12 +530,10 @@ def changed_targets(spark, d):
 
 # --- sets, exports --------------------------------------------------------------------------------------------------
 
-_WIDE = EDGES_SQL.replace("% 50 = 0", "% 25 = 0")
 
-
-@query(f"WITH a AS (SELECT DISTINCT src || ' -> ' || dst || ' [' || kind || ']' AS edge FROM ({EDGES_SQL}) x), b AS (SELECT DISTINCT src || ' -> ' || dst || ' [' || kind || ']' AS edge FROM ({_WIDE}) x) SELECT 'added' AS change, edge FROM b WHERE edge NOT IN (SELECT edge FROM a) UNION ALL SELECT 'removed', edge FROM a WHERE edge NOT IN (SELECT edge FROM b)")
+@query(f"WITH a AS (SELECT DISTINCT src || ' -> ' || dst || ' [' || kind || ']' AS edge FROM ({EDGES_SQL}) x), b AS (SELECT DISTINCT src || ' -> ' || dst || ' [' || kind || ']' AS edge FROM ({KEYED_EDGES_SQL}) x) SELECT 'added' AS change, edge FROM b WHERE edge NOT IN (SELECT edge FROM a) UNION ALL SELECT 'removed', edge FROM a WHERE edge NOT IN (SELECT edge FROM b)")
 def graph_diff(spark, d):
-    return sets.diff(star(spark, d), star_graph(spark, d, 25), None)
+    return sets.diff(star(spark, d), star_graph(spark, d, KEYED_EDGES_SQL), None)
 
 
 @query(

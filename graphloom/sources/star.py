@@ -1,8 +1,8 @@
 """The star graph: a property graph derived from the relational tables.
 
 Parts are functions and methods, suppliers traits, customers structs, nations
-and (type, brand) pairs files, regions crates; consecutive parts of some orders
-call each other.  Both statements run unchanged in Spark SQL and in DuckDB.
+and (type, brand) pairs files, regions crates; consecutive parts of every
+order call each other.  Both statements run unchanged in Spark SQL and in DuckDB.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ UNION ALL SELECT concat('struct:', c_name), 'struct', c_name, c_name, concat('sr
 EDGES_SQL = """
 WITH pid AS (SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 5 = 0 THEN 'method' ELSE 'function' END, ':', lower(p_type), '::', replace(p_name, ' ', '_'), '_', CAST(p_partkey AS STRING)) AS id,
    CASE WHEN p_size > 45 THEN concat('tests/', lower(p_type), '_test.rs') ELSE concat('src/', lower(p_type), '/', lower(replace(p_brand, '#', '_')), '.rs') END AS file FROM part),
- li AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey % 50 = 0),
+ li AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem),
  seq AS (SELECT o, p, lead(p) OVER (PARTITION BY o ORDER BY (p * 7919 + o * 31) % 10007, p) AS n FROM (SELECT DISTINCT o, p FROM li) d),
  calls AS (SELECT p AS f, n AS t, count(*) AS w FROM seq WHERE n IS NOT NULL GROUP BY p, n)
 SELECT a.id AS src, b.id AS dst, 'calls' AS kind, CAST(w AS BIGINT) AS weight,
@@ -49,12 +49,15 @@ UNION ALL SELECT concat('file:', file), id, 'declares', CAST(1 AS BIGINT), 'ast'
 UNION ALL SELECT concat('file:src/nation_', CAST(s_nationkey AS STRING), '.rs'), concat('trait:', s_name), 'declares', CAST(1 AS BIGINT), 'ast', 'definite', NULL FROM supplier
 """
 
+#: Another graph of the same tables: an order's parts call each other in the order of their keys.
+KEYED_EDGES_SQL = EDGES_SQL.replace("ORDER BY (p * 7919 + o * 31) % 10007, p", "ORDER BY p")
+
 #: Prefix of every oracle: the two tables, numbered as the graph's are.
 WITH_GRAPH = f"""nodes AS (SELECT *, row_number() OVER (ORDER BY id) AS ord FROM ({NODES_SQL}) n0),
 edges AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) AS ord FROM ({EDGES_SQL}) e0),
 degree AS (SELECT id, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT src AS id, weight FROM edges UNION ALL SELECT dst, weight FROM edges) d0 GROUP BY id)"""
 
-_GRAPHS: dict[tuple[str, str, int], SymbolGraph] = {}
+_GRAPHS: dict[tuple[str, str, str], SymbolGraph] = {}
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -77,15 +80,15 @@ def _qualify(sql: str, table: str) -> str:
     return re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {{t_{table}}}", sql)
 
 
-def star_graph(spark: SparkSession, sf_dir: str, modulus: int = 50) -> SymbolGraph:
+def star_graph(spark: SparkSession, sf_dir: str, edges_sql: str = EDGES_SQL) -> SymbolGraph:
     """The star graph of a folder, kept in the executors' storage for the session's next queries.
 
-    ``modulus`` is the share of orders (one in so many) that give edges.
+    Every row of ``lineitem`` gives edges; ``edges_sql`` says which.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, modulus)
+    key = (spark.sparkContext.applicationId, sf_dir, edges_sql)
     if key not in _GRAPHS:
         nodes = _run(spark, sf_dir, NODES_SQL)
-        edges = _run(spark, sf_dir, EDGES_SQL.replace("% 50 = 0", f"% {modulus} = 0"))
+        edges = _run(spark, sf_dir, edges_sql)
         _GRAPHS[key] = SymbolGraph(numbered(nodes, "id"), numbered(edges, "src", "dst", "kind")).persist()
     return _GRAPHS[key]
 
