@@ -28,8 +28,10 @@ from ._rows import ID
 
 ORDER = 5
 DISCOUNT = 0.75
-#: An n-gram stays if it is at least this share of all bytes; so at most ORDER / KEEP n-grams stay, however large the corpus.
-KEEP = 1e-7
+#: An n-gram stays if it is seen this often, whatever the size of the corpus: states grow with it, and rare n-grams count.
+LEAST = 1
+#: A share of all bytes below which n-grams are pruned too; none unless a caller asks for it.
+KEEP = 0.0
 #: Bytes of a lane: texts are traversed side by side in pieces, each entered with the state its place has.
 LANE = 1024
 #: n-grams that a task holds before it merges equal ones.
@@ -235,7 +237,7 @@ def train(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, keep:
 
     top = saved(count_grams(docs, order, text_col))
     total = top.agg(F.sum("n")).first()[0] or 0
-    least = max(1, int(np.ceil(total * keep)))
+    least = max(LEAST, int(np.ceil(total * keep)))
     every = top.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("code").bitwiseAND((1 << 8 * k) - 1)).alias("code")) for k in range(1, order + 1)))).alias("g"), "n").select("g.k", "g.code", "n")
     found = every.groupBy("k", "code").agg(F.sum("n").alias("n"))
     # a context is as frequent as any n-gram of it, so the same bound keeps all that are needed

@@ -60,3 +60,13 @@ def test_edge_cases(spark):
     nothing = m.train(empty(spark), 3)
     r = m.score(docs(spark, [(1, "abcd")]), nothing).first()
     assert r.log_prob == pytest.approx(-4 * math.log(256))
+
+
+def test_rare_ngrams_of_a_large_corpus_stay(spark):
+    from pyspark.sql import functions as F
+
+    common = spark.range(12).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdefghij"), 100_000).alias("text"))
+    rare = docs(spark, [(20, "zqxjk")])
+    model = m.train(common.unionByName(rare.select("doc_id", "text")))
+    # each byte after the first has its own arc, of (1 - 0.75) / 1 at least
+    assert m.score(rare, model).first().log_prob > math.log(0.25 / 13) + 4 * math.log(0.25)
