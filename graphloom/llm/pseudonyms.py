@@ -9,7 +9,8 @@ unequal, and the holder of the key can reverse it.
 kind       found and validated                                          permuted
 =========  ==========================================================  =============================
 card       13 to 19 digits, single blanks or hyphens, Luhn's check      all but the check digit, which is recomputed
-iban       country, check digits, 11 to 30 letters or digits, mod 97    digits and letters of the account; check digits recomputed
+iban       country, check digits, the country's length (other           digits and letters of the account; check digits recomputed
+           countries: 15 to 34 letters or digits), mod 97
 ssn        ddd-dd-dddd, no area 000, 666 or 9dd, no zero group          ordinal among the valid numbers
 phone      ``+`` country code and 7 to 14 digits with separators, or     all digits but the country code
            ddd-ddd-dddd
@@ -21,6 +22,13 @@ secret     a hexadecimal string of 32 or more digits                    its digi
 
 Letters and digits of mixed strings are permuted by class and case, so an
 email's local part of letters stays one of letters.
+
+A card ends at the first blank or hyphen up to which it is valid, and an IBAN at
+its country's length, so what follows them may be digits or capitals.  A card
+with such a place inside is permuted among those that are valid as a whole
+alone, so it is found again.  After a value that fails its check the search goes
+on at its second character.  The one case that may not reverse: digits and a
+blank before a card, when the pseudonym makes them valid together by chance.
 """
 
 from __future__ import annotations
@@ -58,6 +66,15 @@ _SCAN = re.compile(
 _DAY0 = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
 _SSN = [a for a in range(1, 900) if a != 666]
+#: Characters of an IBAN by country.
+_IBAN = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
 _CLASSES = (("0123456789", 10), ("abcdefghijklmnopqrstuvwxyz", 26), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26))
 _OF = {c: (i, n) for i, (chars, _) in enumerate(_CLASSES) for n, c in enumerate(chars)}
 
@@ -152,15 +169,34 @@ class Pseudonymiser:
         it = iter(digits)
         return "".join(next(it) if c.isdigit() else c for c in shape)
 
+    @staticmethod
+    def _card(shape: str, digits: str) -> int:
+        """Digits of the shortest valid card that ends at a blank, a hyphen or the end of the shape; 0 if there is none."""
+        ends = [len(re.sub(r"[ -]", "", shape[: m.start()])) for m in re.finditer(r"[ -]|$", shape)]
+        return next((n for n in ends if n >= 13 and not luhn(digits[:n])), 0)
+
     def card(self, s: str) -> str | None:
         d = re.sub(r"[ -]", "", s)
-        if luhn(d):
+        n = self._card(s, d)
+        if not n:
             return None
-        body = self._digits("card", d[:-1])
-        return self._fill(s, body + str(-luhn(body + "0") % 10))
+        s = next(s[:i] for i in range(n, len(s) + 1) if len(re.sub(r"[ -]", "", s[:i])) == n)
+        d = d[:n]
+        while True:
+            body = self._digits("card", d[:-1])
+            d = body + str(-luhn(body + "0") % 10)
+            if self._card(s, d) == n:
+                return self._fill(s, d)
 
     def iban(self, s: str) -> str | None:
         d = s.replace(" ", "")
+        if size := _IBAN.get(d[:2]):
+            if len(d) < size:
+                return None
+            end = next(i for i in range(size, len(s) + 1) if len(s[:i].replace(" ", "")) == size)
+            if s[end : end + 1].strip():
+                return None
+            s, d = s[:end], d[:size]
         number = lambda t: int("".join(str(int(c, 36)) for c in t))
         if number(d[4:] + d[:4]) % 97 != 1:
             return None
@@ -216,17 +252,17 @@ class Pseudonymiser:
         """(the text with pseudonyms, number of values replaced)."""
         if not _HINT.search(s):
             return s, 0
-        count = 0
-
-        def sub(m: re.Match) -> str:
-            nonlocal count
+        parts, count, done, at = [], 0, 0, 0
+        while m := _SCAN.search(s, at):
             new = getattr(self, m.lastgroup if m.lastgroup != "s" else "date")(m[0])
             if new is None:
-                return m[0]
+                at = m.start() + 1
+                continue
+            parts += [s[done : m.start()], new]
+            # a card or IBAN may be less than the match, and is as long as its pseudonym
+            done = at = m.start() + len(new) if m.lastgroup in ("card", "iban") else m.end()
             count += 1
-            return new
-
-        return _SCAN.sub(sub, s), count
+        return "".join([*parts, s[done:]]), count
 
 
 def pseudonymised(text: Column, key: str = KEY, back: bool = False) -> Column:

@@ -92,3 +92,20 @@ def test_edge_cases(spark):
     kept = p.replace(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns and kept.count() == len(rows)
     assert p.pseudonymise(empty(spark)).count() == 0
+
+
+def test_values_before_other_digits_and_capitals():
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    q, back = p.Pseudonymiser("k"), p.Pseudonymiser("k", True)
+    new_card, new_iban = q.text(card)[0], q.text(iban)[0]
+    assert card != new_card and iban != new_iban
+    for old, new in ((card, new_card), (iban, new_iban)):
+        for rest in (" 12/26", " 123", " EUR 500", " BIC COBADEFF", "."):
+            assert q.text(old + rest) == (new + rest, 1)
+            assert back.text(new + rest) == (old + rest, 1)
+    assert q.text("DE89 3704 0044 0532 0130 00 BIC COBADEFF")[1] == 1
+    assert q.text(f"12 {card}") == (f"12 {new_card}", 1)
+    for k in range(200):
+        body = f"4111 1111 1111 {k:04d} 12"
+        whole = body + str(-p.luhn(body.replace(" ", "") + "0") % 10)
+        assert back.text(q.text(whole)[0])[0] == whole
