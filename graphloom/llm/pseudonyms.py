@@ -13,15 +13,24 @@ iban       country, check digits, the country's length (other           digits a
            countries: 15 to 34 letters or digits), mod 97
 ssn        ddd-dd-dddd, no area 000, 666 or 9dd, no zero group          ordinal among the valid numbers
 phone      ``+`` country code and 7 to 14 digits with separators, or     all digits but the country code
-           ddd-ddd-dddd
-date       yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, a day of the calendar    day number within 1900..2099
+           ddd-ddd-dddd with hyphens, dots or blanks
+date       yyyy-mm-dd, yyyy/mm/dd, d.m.yyyy, m/d/yyyy or d/m/yyyy,       day number within 1800..2199
+           padded or not, a day of the calendar
 ip         four numbers up to 255                                       the 32 bits
 email      local part @ domain with a dot                               letters and digits of the local part
+token      the prefix of a service's access tokens (``TOKENS``) and     letters and digits after the prefix
+           16 characters or more
 secret     a hexadecimal string of 32 or more digits                    its digits
 =========  ==========================================================  =============================
 
 Letters and digits of mixed strings are permuted by class and case, so an
-email's local part of letters stays one of letters.
+email's local part of letters stays one of letters.  Addresses that differ in
+case alone get pseudonyms that differ in case alone.
+
+Strings of any length are permuted whole.  Beyond ``BLOCK`` characters this is
+done block by block, each under a key that the block's place and the pseudonym
+of the block before it give, so the time is linear in the length and the whole
+can be reversed; long strings with a common start keep a common start.
 
 A card ends at the first blank or hyphen up to which it is valid, and an IBAN at
 its country's length, so what follows them may be digits or capitals.  A card
@@ -37,34 +46,42 @@ import datetime
 import hashlib
 import hmac
 import re
+import warnings
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 ROUNDS = 8
-#: For tests and examples; pass a secret of your own.
-KEY = "graphloom-example-key"
+#: Characters that are permuted as one number.
+BLOCK = 512
+#: Where a session holds its secret key.
+SETTING = "spark.graphloom.pseudonyms.key"
+#: Stands in where a session names no key; it is published, so it protects nothing.
+EXAMPLE_KEY = "graphloom-example-key"
+#: Public prefixes of access tokens.
+TOKENS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "AKIA", "ASIA", "AIza", "sk_live_", "sk_test_", "rk_live_", "sk-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "hf_", "npm_", "pypi-")
 
 _HINT = re.compile(r"[0-9@]|[A-Fa-f]{32}")
 _SCAN = re.compile(
-    r"""(?P<email>[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})
+    r"""(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})
+    |(?<![0-9A-Za-z])(?P<token>(?:@T)[0-9A-Za-z_-]{16,})
     |(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])
     |(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![0-9A-Za-z])
     |(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
     |(?P<phone>\+[0-9]{1,3}@S(?:\([0-9]{1,4}\)@S)?[0-9]{2,4}(?:@S[0-9]{2,4}){1,4}(?![0-9]|\.[0-9]))
     |(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])
-    |(?<![\w-])(?P<local>[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4})(?![\w-])
-    |(?<![\w/.-])(?P<date>[0-9]{4}(?P<s>[-/])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-])
+    |(?<![\w-])(?<![0-9][ ])(?P<local>[0-9]{3}(?P<g>[-. ])[0-9]{3}(?P=g)[0-9]{4}|\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4})(?![\w-])(?![ ][0-9])
+    |(?<![\w/.-])(?P<date>[0-9]{4}(?P<s>[-/])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{1,2}(?P<t>[./])[0-9]{1,2}(?P=t)[0-9]{4})(?![\w/-])
     |(?<![0-9])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"""
     # parts of a phone number may be torn by marks
-    .replace("@S", r"[ .$%&*|!#-]{0,6}").replace("#-]", r"\#-]"),
+    .replace("@T", "|".join(map(re.escape, TOKENS))).replace("@S", r"[ .$%&*|!#-]{0,6}").replace("#-]", r"\#-]"),
     re.X,
 )
-_DAY0 = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2100, 1, 1).toordinal() - _DAY0
+_DAY0 = datetime.date(1800, 1, 1).toordinal()
+_DAYS = datetime.date(2200, 1, 1).toordinal() - _DAY0
 _SSN = [a for a in range(1, 900) if a != 666]
 #: Characters of an IBAN by country.
 _IBAN = {
@@ -84,6 +101,10 @@ def luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
+def _raw(x: int) -> bytes:
+    return x.to_bytes((x.bit_length() + 7) // 8, "big")
+
+
 class Feistel:
     """A keyed permutation of range(n) for any n, by an alternating network over n's two factors and cycle walking."""
 
@@ -91,13 +112,16 @@ class Feistel:
         self.key, self.rounds = key.encode(), rounds
         self._permute = lru_cache(maxsize=1 << 16)(self._walk)
 
-    def _f(self, tag: str, n: int, r: int, x: int) -> int:
-        return int.from_bytes(hmac.digest(self.key, f"{tag}|{n}|{r}|{x}".encode(), "sha256")[:24], "big")
+    def _f(self, tag: str, n: int, r: int, x: int, side: int) -> int:
+        """A number below ``side``: the keyed hash in counter mode, 64 bits wider than the side, so all its digits are even."""
+        said = f"{tag}|{r}|".encode() + b"".join(len(v).to_bytes(8, "big") + v for v in (_raw(n), _raw(x)))
+        seed, size = hmac.digest(self.key, said, "sha256"), side.bit_length() + 64
+        out = seed if size <= 256 else b"".join(hmac.digest(self.key, seed + i.to_bytes(4, "big"), "sha256") for i in range(-(-size // 256)))
+        return int.from_bytes(out, "big") % side
 
-    def _sides(self, n: int) -> tuple[int, int]:
-        a = 1
-        while a * a < n:
-            a <<= 1
+    @staticmethod
+    def _sides(n: int) -> tuple[int, int]:
+        a = 1 << ((n - 1).bit_length() + 1) // 2
         return a, -(-n // a)
 
     def _once(self, tag: str, n: int, x: int) -> int:
@@ -105,9 +129,9 @@ class Feistel:
         left, right = divmod(x, b)
         for r in range(self.rounds):
             if r % 2 == 0:
-                left = (left + self._f(tag, n, r, right)) % a
+                left = (left + self._f(tag, n, r, right, a)) % a
             else:
-                right = (right + self._f(tag, n, r, left)) % b
+                right = (right + self._f(tag, n, r, left, b)) % b
         return left * b + right
 
     def _back(self, tag: str, n: int, x: int) -> int:
@@ -115,9 +139,9 @@ class Feistel:
         left, right = divmod(x, b)
         for r in reversed(range(self.rounds)):
             if r % 2 == 0:
-                left = (left - self._f(tag, n, r, right)) % a
+                left = (left - self._f(tag, n, r, right, a)) % a
             else:
-                right = (right - self._f(tag, n, r, left)) % b
+                right = (right - self._f(tag, n, r, left, b)) % b
         return left * b + right
 
     def _walk(self, tag: str, n: int, x: int) -> int:
@@ -127,7 +151,8 @@ class Feistel:
         return y
 
     def permute(self, tag: str, n: int, x: int) -> int:
-        return self._permute(tag, n, x)
+        # long values are rarely met twice and would fill the memory
+        return self._permute(tag, n, x) if n.bit_length() <= 256 else self._walk(tag, n, x)
 
     def invert(self, tag: str, n: int, x: int) -> int:
         y = self._back(tag, n, x)
@@ -139,15 +164,30 @@ class Feistel:
 class Pseudonymiser:
     """Replaces the values of one text; ``back`` reverses it."""
 
-    def __init__(self, key: str = KEY, back: bool = False) -> None:
-        self.net = Feistel(key)
+    def __init__(self, key: str, back: bool = False) -> None:
+        self.net, self.reverse = Feistel(key), back
         self.move = self.net.invert if back else self.net.permute
 
     def _digits(self, tag: str, digits: str) -> str:
         return str(self.move(tag, 10 ** len(digits), int(digits))).zfill(len(digits)) if digits else ""
 
+    def _blocks(self, tag: str, text: str, one) -> str:
+        """``one(tag, text)`` over the blocks of a text, each tagged with its place and the pseudonym before it."""
+        if len(text) <= BLOCK:
+            return one(tag, text)
+        out, before = [], ""
+        for i in range(0, len(text), BLOCK):
+            part = text[i : i + BLOCK]
+            new = one(f"{tag}|{len(text)}|{i}|{hashlib.sha256(before.encode()).hexdigest()}", part)
+            out.append(new)
+            before = part if self.reverse else new
+        return "".join(out)
+
     def _chars(self, tag: str, text: str) -> str:
         """Permutes letters and digits among the strings of the same pattern of classes."""
+        return self._blocks(tag, text, self._mixed)
+
+    def _mixed(self, tag: str, text: str) -> str:
         n, x = 1, 0
         for c in text:
             if c in _OF:
@@ -164,6 +204,9 @@ class Pseudonymiser:
             out.append(c)
         return "".join(reversed(out))
 
+    def _hex(self, tag: str, text: str) -> str:
+        return f"{self.move(tag, 16 ** len(text), int(text, 16)):0{len(text)}x}"
+
     @staticmethod
     def _fill(shape: str, digits: str) -> str:
         it = iter(digits)
@@ -222,15 +265,35 @@ class Pseudonymiser:
     local = phone
 
     def date(self, s: str) -> str | None:
-        y, m, d = map(int, (s[6:], s[3:5], s[:2]) if s[2] == "." else (s[:4], s[5:7], s[8:]))
+        mark = next(c for c in s if not c.isdigit())
+        if s[4] == mark and s[:4].isdigit():
+            y, m, d = (int(x) for x in s.split(mark))
+            return self._day("date", y, m, d, lambda d: d.strftime(f"%Y{mark}%m{mark}%d"), lambda d: True)
+        a, b, y = s.split(mark)
+        # a leading nought, or two digits twice, is a padded date; else nothing is padded
+        wide = len(a) == len(b) == 2
+        if not wide and "0" in (a[0], b[0]):
+            return None
+        a, b, y = int(a), int(b), int(y)
+        # with slashes the month comes first unless it can only be the day
+        first = mark == "." or a > 12
+        write = lambda d: ("{0:02d}{2}{1:02d}{2}{3:04d}" if wide else "{0}{2}{1}{2}{3:04d}").format(*((d.day, d.month) if first else (d.month, d.day)), mark, d.year)
+        fits = lambda d: (wide or d.day < 10 or d.month < 10) and (mark == "." or not first or d.day > 12)
+        return self._day(f"date{mark}{wide}{first}", y, b if first else a, a if first else b, write, fits)
+
+    def _day(self, tag: str, y: int, m: int, d: int, write, fits) -> str | None:
+        """The day's pseudonym among those that are written the same way."""
         try:
             x = datetime.date(y, m, d).toordinal() - _DAY0
         except ValueError:
             return None
         if not 0 <= x < _DAYS:
             return None
-        new = datetime.date.fromordinal(self.move("date", _DAYS, x) + _DAY0)
-        return new.strftime("%d.%m.%Y") if s[2] == "." else new.strftime(f"%Y{s[4]}%m{s[4]}%d")
+        while True:
+            x = self.move(tag, _DAYS, x)
+            new = datetime.date.fromordinal(x + _DAY0)
+            if fits(new):
+                return write(new)
 
     def ip(self, s: str) -> str | None:
         p = [int(x) for x in s.split(".")]
@@ -241,11 +304,15 @@ class Pseudonymiser:
 
     def email(self, s: str) -> str:
         local, at, domain = s.partition("@")
-        return self._chars("email", local) + at + domain
+        low = self._chars("email", local.lower())
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(low, local)) + at + domain
+
+    def token(self, s: str) -> str:
+        head = next(t for t in TOKENS if s.startswith(t))
+        return head + self._chars("token" + head, s[len(head) :])
 
     def secret(self, s: str) -> str:
-        x = self.move("secret", 16 ** len(s), int(s, 16))
-        new = f"{x:0{len(s)}x}"
+        new = self._blocks("secret", s.lower(), self._hex)
         return new if s == s.lower() else new.upper()
 
     def text(self, s: str) -> tuple[str, int]:
@@ -254,7 +321,7 @@ class Pseudonymiser:
             return s, 0
         parts, count, done, at = [], 0, 0, 0
         while m := _SCAN.search(s, at):
-            new = getattr(self, m.lastgroup if m.lastgroup != "s" else "date")(m[0])
+            new = getattr(self, {"s": "date", "t": "date", "g": "local"}.get(m.lastgroup, m.lastgroup))(m[0])
             if new is None:
                 at = m.start() + 1
                 continue
@@ -265,7 +332,7 @@ class Pseudonymiser:
         return "".join([*parts, s[done:]]), count
 
 
-def pseudonymised(text: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonymised(text: Column, key: str, back: bool = False) -> Column:
     """struct(text, n_replaced) of a text column: null stays null with 0, empty stays empty."""
     kind = StructType([StructField("text", StringType()), StructField("n_replaced", IntegerType())])
 
@@ -278,23 +345,33 @@ def pseudonymised(text: Column, key: str = KEY, back: bool = False) -> Column:
     return run(text.cast("string"))
 
 
+def key_of(spark: SparkSession) -> str:
+    """The session's key; where it has none, the published example key, with a warning."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        warnings.warn(f"{SETTING} is not set: pseudonyms are made with a published key and can be reversed by anyone", stacklevel=2)
+    return key or EXAMPLE_KEY
+
+
 @lru_cache(maxsize=4)
 def _of(key: str, back: bool) -> Pseudonymiser:
     return Pseudonymiser(key, back)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_replaced) of every row, in one pass without a shuffle.
 
     Values that fail their check (a wrong check digit, 31 February, an octet
     above 255) stay as they are.  A value inside a longer run of digits or
-    letters is none.  Repeated rows and ids each give a row, nulls stay null,
-    extra columns are ignored whatever their names, no rows give no rows.
+    letters is none.  Texts, and values in them, may have any length.  Repeated
+    rows and ids each give a row, nulls stay null, extra columns are ignored
+    whatever their names, no rows give no rows.  ``key`` has no default: who
+    knows it can reverse the pseudonyms.
     """
     done = docs.select(docs[id_col].alias("doc_id"), pseudonymised(docs[text_col], key).alias("__gl_p"))
     return done.select("doc_id", "__gl_p.text", "__gl_p.n_replaced")
 
 
-def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with pseudonyms in the text; edge cases as in :func:`pseudonymise`."""
     return docs.withColumn(text_col, pseudonymised(docs[text_col], key)["text"])

@@ -53,7 +53,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), pseudonyms.key_of(spark))
 
 
 def queries() -> dict[str, Query]:
