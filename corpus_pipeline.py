@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal values by pseudonyms; n_chars follows the text."""
-    return pseudonyms.replace(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return pseudonyms.replace(docs, pseudonyms.key_of(spark)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
