@@ -8,14 +8,19 @@ every pair of neighbours lies inside an encoding, and the three parts in a row
 are the encoding of the whole.  Until then the window grows.
 
 This happens at two levels.  A text longer than ``leaf`` characters is cut into
-leaves that become rows of their own, encoded by any task in parallel; joining
-them re-splits the text around each cut until the word boundaries of both sides
-are met.  A single word (white-space free text, say) of more than ``unsplit``
-bytes is encoded as a tree of halves.
+leaves that become rows of their own, encoded by any task in parallel, and
+joined in rounds: ``FAN`` neighbours in a task, then what they have become.  A
+join splits the text around a cut anew, from a blank that is a boundary for
+sure until a boundary of the right text is met.  A word that spans the cut is
+made of words that either side has encoded already, so it is their
+concatenation; nothing but windows is encoded again.  A single word (text free
+of white space, say) of more than ``unsplit`` bytes is encoded as a tree of
+halves.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,10 +33,19 @@ from . import _vec as v
 from . import vocabulary
 from ._rows import ID, KEY, TEXT, keyed
 
+#: A blank after another character.
+_BLANK = re.compile(rb"[^\s] ")
+
 LEAF = 1 << 16
 UNSPLIT = 512
 #: Tokens on each side of a cut in the first window.
 WINDOW = 4
+#: Leaves that one task joins in the first round.
+FAN = 16
+#: No pattern looks further than so many characters beyond the end of a word.
+LOOK = 64
+#: Tokens on each side of a cut where words are split anew at first.
+NEAR = 64
 
 
 class Codec:
@@ -79,57 +93,87 @@ class Codec:
             out += self.tree(word.encode())
         return out
 
-    def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
+    def join(self, a: list[int], b: list[int]) -> list[int]:
         """Encoding of two texts in a row from their encodings.
 
-        Word boundaries of the left text hold in the whole if they lie a few
-        characters before the cut and no match before them looks beyond it.
-        From such a one the whole is split anew until a boundary of the right
-        text is met; from there on the splits are equal.
+        A blank after another character ends a word whatever follows it, so from
+        there on the whole is split anew, until a boundary of the right text is
+        met; from that one on the splits are equal.  A word of the whole that is
+        tiled by words of the two sides is the concatenation of their tokens;
+        one that cuts through a run of white space is encoded anew.
         """
-        if not left or not right:
+        if not a or not b:
             return a + b
-        size = 64
+        size = NEAR
         while True:
-            # a white-space boundary: what precedes a blank after a non-blank never depends on what follows it
-            start = len(left) - size
-            while start > 0 and not (left[start].isspace() and not left[start - 1].isspace()):
-                start -= 1
-            start = max(0, start)
-            stop = min(len(right), size)
-            theirs = {m.end() for m in self.split.finditer(right[: stop + size])} | {len(right)}
-            if stop + size < len(right):
-                theirs = {e for e in theirs if e <= stop}
-            middle, end = [], None
-            for m in self.split.finditer(left + right[: stop + size], start):
-                middle.append(m[0])
-                e = m.end() - len(left)
-                if e > 0 and e in theirs and (e == len(right) or e <= stop):
-                    end = e
+            i, j = max(0, len(a) - size), min(len(b), size)
+            size *= 4
+            raw = self.decode(a[i:])
+            p = 0 if not i else next((m.start() + 1 for m in _BLANK.finditer(raw)), -1)
+            if p < 0:
+                continue
+            left, right = raw[p:].decode(), self.decode(b[:j]).decode(errors="ignore")
+            mine = [m.span() for m in self.split.finditer(left)]
+            # words that end this far before the cut are the same in the whole
+            skip = next((k for k in range(len(mine) - 1, -1, -1) if mine[k][0] <= len(left) - LOOK), 0)
+            start = mine[skip][0] if mine else 0
+            p += len(left[:start].encode())
+            mine, left = [(x - start, y - start) for x, y in mine[skip:]], left[start:]
+            # the window ends inside the right text: its second half may split otherwise in the whole
+            limit = len(right) if j == len(b) else len(right) // 2
+            theirs = [m.span() for m in self.split.finditer(right) if m.end() <= limit]
+            ends, cut, words, end = {z for _, z in theirs}, len(left), [], None
+            for m in self.split.finditer(left + right):
+                words.append(m.span())
+                if m.end() - cut in ends:
+                    end = m.end() - cut
                     break
             if end is not None:
                 break
-            size *= 2
-        head = self._tokens(a, len(left[:start].encode()))
-        tail = self._tokens(b, len(right[:end].encode()))
-        out = a[:head]
-        for word in middle:
-            out += self.tree(word.encode())
-        return out + b[tail:]
-
-    def _tokens(self, tokens: list[int], size: int) -> int:
-        """Number of tokens that make up the first ``size`` bytes."""
-        ends = np.cumsum([0, *(len(self.bytes_of[t]) for t in tokens)])
-        at = int(np.searchsorted(ends, size))
-        assert ends[at] == size, "a word boundary is a token boundary"
+        pieces = mine + [(cut + x, cut + y) for x, y in theirs if y <= end]
+        text = left + right
+        head = self._tokens(a, i, p)
+        coded, at_a, at_b = [], head, 0
+        for x, y in pieces:
+            bytes_ = len(text[x:y].encode())
+            if x < cut:
+                stop = self._tokens(a, at_a, bytes_)
+                coded.append(a[at_a:stop])
+                at_a = stop
+            else:
+                stop = self._tokens(b, at_b, bytes_)
+                coded.append(b[at_b:stop])
+                at_b = stop
+        out, k = a[:head], 0
+        for x, y in words:
+            while k < len(pieces) and pieces[k][0] < x:
+                k += 1
+            first = k
+            while k < len(pieces) and pieces[k][1] <= y:
+                k += 1
+            if k > first and pieces[first][0] == x and pieces[k - 1][1] == y:
+                joined = coded[first]
+                for more in coded[first + 1 : k]:
+                    joined = self.concat(joined, more)
+                out += joined
+            else:
+                out += self.tree(text[x:y].encode())
+        return out + b[at_b:]
+
+    def _tokens(self, tokens: list[int], at: int, size: int) -> int:
+        """The place in ``tokens`` that is ``size`` bytes after place ``at``; a word boundary is a token boundary."""
+        while size > 0:
+            size -= len(self.bytes_of[tokens[at]])
+            at += 1
+        assert size == 0, "a word boundary is a token boundary"
         return at
 
-    def join_all(self, parts: list[tuple[str, list[int]]]) -> list[int]:
+    def join_all(self, parts: list[list[int]]) -> list[int]:
         """Joins neighbours pairwise, level by level."""
         while len(parts) > 1:
-            joined = [(x[0] + y[0], self.join(*x, *y)) for x, y in zip(parts[::2], parts[1::2])]
+            joined = [self.join(x, y) for x, y in zip(parts[::2], parts[1::2])]
             parts = joined + parts[len(joined) * 2 :]
-        return parts[0][1] if parts else []
+        return parts[0] if parts else []
 
 
 @lru_cache(maxsize=4)
@@ -171,48 +215,60 @@ def _encode(path: str, pattern: str, unsplit: int):
     return run
 
 
-def _join(path: str, pattern: str, unsplit: int):
+def _join(path: str, pattern: str, unsplit: int, fan: int | None):
+    """Joins the rows of a group in order of ``leaf``; the result has the number of its group of ``fan``."""
+
     def run(key: tuple[pa.Scalar, ...], groups: pa.Table) -> pa.Table:
-        c = codec(path, pattern, unsplit)
         rows = groups.sort_by("leaf")
-        parts = list(zip(rows.column(TEXT).to_pylist(), rows.column("tokens").to_pylist()))
-        return pa.table({ID: rows.column(ID).slice(0, 1), KEY: rows.column(KEY).slice(0, 1), "tokens": _lists([c.join_all(parts)])})
+        tokens = codec(path, pattern, unsplit).join_all(rows.column("tokens").to_pylist())
+        place = {"leaf": pa.array([rows.column("leaf")[0].as_py() // fan], type=pa.int32())} if fan else {}
+        return pa.table({ID: rows.column(ID).slice(0, 1), KEY: rows.column(KEY).slice(0, 1)} | place | {"tokens": _lists([tokens])})
 
     return run
 
 
+def _encoded(docs: DataFrame, path: str, pattern: str, leaf: int, unsplit: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, tokens) of every row."""
+    k = keyed(docs, id_col, text_col)
+    kind = k.schema[ID].dataType.simpleString()
+    short = k.where(F.coalesce(F.length(TEXT) <= leaf, F.lit(True)))
+    done = short.mapInArrow(_encode(path, pattern, unsplit), f"{ID} {kind}, {KEY} bigint, {TEXT} string, tokens array<int>").select(ID, KEY, "tokens")
+    long = k.where(F.length(TEXT) > leaf)
+    # one set of leaves for rows that are equal, and how many rows there are
+    whole = long.groupBy(ID, KEY).agg(F.first(TEXT).alias(TEXT), F.count(F.lit(1)).alias("copies"))
+    leaves = whole.select(ID, KEY, F.explode(F.sequence(F.lit(0), ((F.length(TEXT) - 1) / leaf).cast("int"))).alias("leaf"), TEXT)
+    leaves = leaves.withColumn(TEXT, F.substring(F.col(TEXT), F.col("leaf") * leaf + 1, F.lit(leaf))).repartition(ID, KEY, "leaf")
+    coded = leaves.select(ID, KEY, "leaf", TEXT).mapInArrow(_encode(path, pattern, unsplit), f"{ID} {kind}, {KEY} bigint, leaf int, {TEXT} string, tokens array<int>").drop(TEXT)
+    some = coded.groupBy(ID, KEY, (F.col("leaf") / FAN).cast("int")).applyInArrow(_join(path, pattern, unsplit, FAN), f"{ID} {kind}, {KEY} bigint, leaf int, tokens array<int>")
+    joined = some.groupBy(ID, KEY).applyInArrow(_join(path, pattern, unsplit, None), f"{ID} {kind}, {KEY} bigint, tokens array<int>")
+    copies = whole.select(F.col(ID).alias("i"), F.col(KEY).alias("k"), "copies")
+    back = joined.join(copies, joined[ID].eqNullSafe(copies.i) & (joined[KEY] == copies.k)).select(ID, KEY, "tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("n"))
+    return done.unionByName(back.select(ID, KEY, "tokens"))
+
+
 def encode(docs: DataFrame, path: str = vocabulary.RANKS, pattern: str = vocabulary.PATTERN, leaf: int = LEAF, unsplit: int = UNSPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens) of every row.
 
     Texts up to ``leaf`` characters are encoded where they are read; longer
     ones are cut into leaves, which are spread over all tasks and joined by
-    document.  The result never depends on ``leaf``.  A null text has null
+    document in two rounds.  The result never depends on ``leaf``.  A null text has null
     tokens, an empty one none.  Rows equal in id and text give equal rows, as
     many as there were; null ids stay; extra columns are ignored whatever their
     names; no rows give no rows.
     """
-    k = keyed(docs, id_col, text_col)
-    kind = k.schema[ID].dataType.simpleString()
-    short = k.where(F.coalesce(F.length(TEXT) <= leaf, F.lit(True))).select(ID, TEXT)
-    done = short.mapInArrow(_encode(path, pattern, unsplit), f"{ID} {kind}, {TEXT} string, tokens array<int>").select(ID, "tokens")
-    long = k.where(F.length(TEXT) > leaf)
-    # one set of leaves for rows that are equal, and how many rows there are
-    whole = long.groupBy(ID, KEY).agg(F.first(TEXT).alias(TEXT), F.count(F.lit(1)).alias("copies"))
-    leaves = whole.select(ID, KEY, F.explode(F.sequence(F.lit(0), ((F.length(TEXT) - 1) / leaf).cast("int"))).alias("leaf"), TEXT)
-    leaves = leaves.withColumn(TEXT, F.substring(F.col(TEXT), F.col("leaf") * leaf + 1, F.lit(leaf))).repartition(ID, KEY, "leaf")
-    coded = leaves.select(ID, KEY, "leaf", TEXT).mapInArrow(_encode(path, pattern, unsplit), f"{ID} {kind}, {KEY} bigint, leaf int, {TEXT} string, tokens array<int>")
-    joined = coded.groupBy(ID, KEY).applyInArrow(_join(path, pattern, unsplit), f"{ID} {kind}, {KEY} bigint, tokens array<int>")
-    copies = whole.select(F.col(ID).alias("i"), F.col(KEY).alias("k"), "copies")
-    back = joined.join(copies, joined[ID].eqNullSafe(copies.i) & (joined[KEY] == copies.k)).select(ID, "tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("n"))
-    return done.unionByName(back.select(ID, "tokens")).withColumnRenamed(ID, "doc_id")
+    return _encoded(docs, path, pattern, leaf, unsplit, id_col, text_col).select(F.col(ID).alias("doc_id"), "tokens")
+
 
+def _decode(path: str, at: int, name: str):
+    """Adds the text of the tokens in column ``at``."""
 
-def _decode(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, vocabulary.PATTERN, UNSPLIT)
         for batch in batches:
-            texts = [None if t is None else c.decode(t).decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], [ID, "text"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [None if t is None else c.decode(t).decode("utf-8", "replace") for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], [*part.schema.names, name])
 
     return run
 
@@ -222,9 +278,20 @@ def decode(tokens: DataFrame, path: str = vocabulary.RANKS, id_col: str = "doc_i
 
     Bytes that are no UTF-8 become U+FFFD; an unknown token is an error.
     """
-    source = tokens.select(tokens[id_col].alias(ID), tokens[tokens_col].cast("array<int>"))
+    source = tokens.select(tokens[id_col].alias(ID), tokens[tokens_col].cast("array<int>").alias("tokens"))
     kind = source.schema[ID].dataType.simpleString()
-    return source.mapInArrow(_decode(path), f"{ID} {kind}, text string").withColumnRenamed(ID, "doc_id")
+    return source.mapInArrow(_decode(path, 1, "text"), f"{ID} {kind}, tokens array<int>, text string").select(F.col(ID).alias("doc_id"), "text")
+
+
+def round_trip(docs: DataFrame, path: str = vocabulary.RANKS, pattern: str = vocabulary.PATTERN, leaf: int = LEAF, unsplit: int = UNSPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, tokens, restored) of every row: whether the decoded tokens are the text.
+
+    Edge cases as in :func:`encode`; a null text has -1 tokens and is restored as null.
+    """
+    coded = _encoded(docs, path, pattern, leaf, unsplit, id_col, text_col)
+    kind = coded.schema[ID].dataType.simpleString()
+    back = coded.mapInArrow(_decode(path, 2, "text"), f"{ID} {kind}, {KEY} bigint, tokens array<int>, text string")
+    return back.select(F.col(ID).alias("doc_id"), F.coalesce(F.size("tokens"), F.lit(-1)).alias("n_tokens"), "tokens", (F.xxhash64("text") == F.col(KEY)).alias("restored"))
 
 
 def encoded(docs: DataFrame, path: str = vocabulary.RANKS, **options) -> DataFrame:

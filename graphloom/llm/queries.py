@@ -45,7 +45,7 @@ def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
