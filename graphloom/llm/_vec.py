@@ -153,6 +153,67 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, mix(total)
 
 
+#: Bytes of a document that are looked at together.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(data: np.ndarray, lo: int, hi: int, size: int, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Slices of the bytes lo..hi of one document; every run of ``size`` words lies whole in one of them."""
+    if hi - lo <= limit:
+        yield lo, hi
+        return
+
+    def next_gap(at: int) -> int:
+        """End of the word that ``at`` lies in."""
+        while at < hi:
+            gap = np.flatnonzero(~WORD[data[at : at + 4096]])
+            if len(gap):
+                return min(hi, at + int(gap[0]))
+            at += 4096
+        return hi
+
+    def next_word(at: int) -> int:
+        while at < hi:
+            word = np.flatnonzero(WORD[data[at : min(hi, at + 4096)]])
+            if len(word):
+                return at + int(word[0])
+            at += 4096
+        return hi
+
+    start = lo
+    while start < hi:
+        cut = end = next_gap(min(hi, start + limit))
+        for _ in range(size - 1):
+            end = next_gap(next_word(end))
+        yield start, end
+        start = cut
+
+
+def distinct_shingles(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, hash) of the shingles of documents lo..hi, sorted; each once a document and piece."""
+    parts = list(pieces(data, int(offs[lo]), int(offs[hi]), size)) if hi - lo == 1 else []
+    some = len(parts) <= 1
+    for part in [*parts, None]:
+        if part is None:
+            # the whole range, unless its pieces have been looked at; a long text of few words has none
+            if some and len(parts) > 1:
+                continue
+            w = words(data, offs, lo, hi)
+        elif len(parts) == 1:
+            continue
+        else:
+            w = words(data, np.array(part), 0, 1)
+            if len(w.hash) < size:
+                continue
+            some = True
+        doc, h = shingles(w, size)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        yield doc[new], h[new]
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array from flat values and the length of each list."""
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], type=pa.int32()), pa.array(values, type=kind))

@@ -25,6 +25,8 @@ SHINGLE = 3
 SLOTS = 128
 BANDS = 32
 THRESHOLD = 0.5
+#: Bands of up to so many members are compared pair by pair, larger ones by their rarest slots; the result is the same.
+PAIRED = 64
 #: Elements whose permutations are held at once.
 _HELD = 1 << 17
 
@@ -88,8 +90,9 @@ def _sign(size: int, slots: int, bands: int):
         for batch in batches:
             data, offs = v.buffers(batch.column(2))
             for lo, hi in v.chunks(offs):
-                doc, h = v.shingles(v.words(data, offs, lo, hi), size)
-                sig = signatures(doc, h, hi - lo, slots)
+                sig = np.full((hi - lo, slots), v.U64(2**64 - 1))
+                for doc, h in v.distinct_shingles(data, offs, lo, hi, size):
+                    sig = np.minimum(sig, signatures(doc, h, hi - lo, slots))
                 full = np.flatnonzero(sig[:, 0] != v.U64(2**64 - 1))
                 if not len(full):
                     continue
@@ -186,7 +189,82 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, slots: int = SLOTS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _slot_keys(slots: int):
+    """A key of each (band, slot, value)."""
+    number = v.mix(np.arange(1, slots + 1, dtype=v.U64) * v.U64(0x9E3779B97F4A7C15))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1 << 12):
+                batch = whole.slice(lo, 1 << 12)
+                n = batch.num_rows
+                data, offs = v.buffers(batch.column(3))
+                value = data[offs[0] : offs[-1]].view(np.uint16).reshape(n, slots).astype(v.U64)
+                band = np.ascontiguousarray(batch.column(0).to_numpy()).view(v.U64)
+                key = v.mix((value << v.U64(16)) + number + band[:, None])
+                row = pa.array(np.repeat(np.arange(n), slots))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(key.ravel().view(np.int64))], ["band", "s", "c", "key"])
+
+    return run
+
+
+def rare_keys(apart: DataFrame, sigs: DataFrame, slots: int, threshold: float) -> DataFrame:
+    """(key, s, c): the rarest slots of each member of a band, so that two that agree enough share one of them.
+
+    Two signatures that agree in t of k slots share one of the k - t + 1 slots
+    that are rarest in the band, whatever the order among equals (the prefix
+    filter of set similarity joins).  A slot that no other member has takes a
+    place but needs no key, so members that only have the band in common, or
+    less than t slots of a template, meet nowhere.
+    """
+    prefix = slots - int(np.ceil(threshold * slots)) + 1
+    every = apart.join(sigs.select("s", "sig"), "s").select("band", "s", "c", "sig").mapInArrow(_slot_keys(slots), "band bigint, s bigint, c bigint, key bigint")
+    every = saved(every)
+    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = every.join(often, "key").groupBy("band", "s", "c").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("l"))
+    kept = ranked.select("s", "c", F.explode(F.slice("l", 1, F.greatest(F.lit(0), F.lit(prefix - slots) + F.size("l")))).alias("e"))
+    return kept.select("e.key", "s", "c").distinct()
+
+
+def across(keys: DataFrame) -> DataFrame:
+    """Pairs (u, v) of members of a key in different groups: those outside a key's largest group meet all others."""
+    groups = keys.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("m.c").alias("main"))
+    mixed = keys.join(main, "key")
+    other = mixed.where("c != main").select("key", F.col("s").alias("x"), F.col("c").alias("cx"))
+    return other.join(mixed.select("key", F.col("s").alias("y"), F.col("c").alias("cy")), "key").where("cx != cy").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
+def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with c, the group that ``s`` is in."""
+    return members.join(roots.select(F.col("u").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s")).drop("root")
+
+
+def join_apart(members: DataFrame, sigs: DataFrame, roots: DataFrame, slots: int, threshold: float, paired: int = PAIRED) -> DataFrame:
+    """Roots after every pair of a band of (band, s, n) that is not in one group yet has been compared, or could not agree.
+
+    Small bands compare all such pairs.  In larger ones members meet by their
+    rarest slots: first each with the least member of a key, then, of what that
+    left in different groups, all.
+    """
+    placed = with_roots(members, roots)
+    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
+    apart = saved(placed.join(mixed, "band"))
+    few = apart.where(F.col("n") <= paired)
+    x, y = few.select("band", F.col("s").alias("u"), F.col("c").alias("cu")), few.select("band", F.col("s").alias("v"), F.col("c").alias("cv"))
+    edges = saved(verified(x.join(y, "band").where("cu < cv").select("u", "v").distinct(), sigs, slots, threshold))
+    many = apart.where(F.col("n") > paired)
+    if not many.isEmpty():
+        keys = saved(rare_keys(many, sigs, slots, threshold))
+        least = keys.groupBy("key").agg(F.min(F.struct("s", "c")).alias("h"))
+        stars = keys.join(least, "key").where("c != h.c").select(F.col("h.s").alias("u"), F.col("s").alias("v")).distinct()
+        edges = edges.union(verified(stars, sigs, slots, threshold))
+        roots = components(roots.select("u", F.col("root").alias("v")).union(edges))
+        edges = saved(verified(across(with_roots(keys.select("key", "s"), roots)), sigs, slots, threshold))
+    return roots if edges.isEmpty() else components(roots.select("u", F.col("root").alias("v")).union(edges))
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, slots: int = SLOTS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
     """(id, key, group, kept) of every row in a group of two rows or more."""
     rows = saved(signed(docs, shingle, slots, bands, id_col, text_col))
     # documents with equal signatures are one node from here on, however many they are
@@ -194,19 +272,11 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SH
     banded = sigs.select("s", F.explode("bands").alias("band"))
     size = F.count(F.lit(1))
     heads = banded.groupBy("band").agg(F.min("s").alias("head"), size.alias("n")).where("n > 1")
-    members = saved(banded.join(heads.select("band", "head"), "band"))
+    members = saved(banded.join(heads, "band"))
     slim = sigs.select("s", "sig")
     first = saved(verified(members.where("s != head").select(F.col("head").alias("u"), F.col("s").alias("v")).distinct(), slim, slots, threshold))
-    roots = components(first)
-    # what the heads left apart: every pair of a band whose ends are not yet in one group
-    placed = members.join(roots.select(F.col("u").alias("s"), "root"), "s", "left").select("band", "s", F.coalesce("root", "s").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    apart = placed.join(mixed, "band")
-    x, y = apart.select("band", F.col("s").alias("u"), F.col("c").alias("cu")), apart.select("band", F.col("s").alias("v"), F.col("c").alias("cv"))
-    rest = saved(verified(x.join(y, "band").where("cu < cv").select("u", "v").distinct(), slim, slots, threshold))
-    if not rest.isEmpty():
-        roots = components(roots.select("u", F.col("root").alias("v")).union(rest))
-    grouped = rows.select(ID, KEY, "s").join(roots.select(F.col("u").alias("s"), "root"), "s", "left").select(ID, KEY, F.coalesce("root", "s").alias("g"))
+    roots = join_apart(members.drop("head"), slim, components(first), slots, threshold, paired)
+    grouped = with_roots(rows.select(ID, KEY, "s"), roots).select(ID, KEY, F.col("c").alias("g"))
     best = grouped.groupBy("g").agg(F.min(F.struct(F.col(ID).isNull().alias("z"), F.col(ID).alias("i"), F.col(KEY).alias("k"))).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return grouped.join(best, "g").select(ID, KEY, "g", "n", F.col("b.i").alias("rep"), (F.col(ID).eqNullSafe(F.col("b.i")) & (F.col(KEY) == F.col("b.k"))).alias("kept"))
 
@@ -221,22 +291,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     punctuation) is never a duplicate.  Repeated rows are duplicates of each
     other; where id and text are both equal all of them read is_kept and
     :func:`deduplicate` keeps one.  A null id comes last in a group's order.
-    Extra columns are ignored whatever their names; no rows give no rows.
+    Texts have any length: long ones are signed piece by piece, and shingles
+    count once, so memory does not grow with repetition.  Extra columns are
+    ignored whatever their names; no rows give no rows.
 
-    Bands compare with one head each, then all pairs that this left in
-    different groups, so no candidate is capped or skipped.
+    Bands compare with one head each, then what this left in different groups
+    (see :func:`join_apart`), so no candidate is capped or skipped, and a band
+    of many unlike members costs in proportion to them.
     """
     g = near_groups(docs, threshold, shingle, slots, bands, id_col, text_col)
     return g.select(F.col(ID).alias("doc_id"), F.col("rep").alias("group_id"), F.col("n").alias("group_size"), F.col("kept").alias("is_kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each group; edge cases as in :func:`near_duplicates`."""
+    """The rows of ``docs``, all columns, with one document of each group; edge cases as in :func:`near_duplicates`.
+
+    Of rows equal in id and text the one stays whose other columns, written as
+    JSON, come first.
+    """
     name = lambda id_: F.when(id_.isNull(), "n").otherwise(F.concat(F.lit("i"), id_.cast("string"))).alias("__gl_i")
     g = near_groups(docs, id_col=id_col, text_col=text_col, **options)
     g = g.groupBy(name(F.col(ID)), F.col(KEY)).agg(F.max("kept").alias("__gl_kept"))
     mine = docs.select("*", name(docs[id_col]), F.xxhash64(docs[text_col].cast("string")).alias(KEY))
     # the join's partitioning serves the window too, which tells equal rows apart
-    copy = F.row_number().over(Window.partitionBy("__gl_i", KEY).orderBy(F.lit(0)))
+    others = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
+    mine = mine.withColumn("__gl_o", F.to_json(F.struct(*others)) if others else F.lit(""))
+    copy = F.row_number().over(Window.partitionBy("__gl_i", KEY).orderBy("__gl_o"))
     joined = mine.join(g, ["__gl_i", KEY], "left").withColumn("__gl_n", copy)
     return joined.where("__gl_kept is null or (__gl_kept and __gl_n = 1)").select(*docs.columns)

@@ -1,8 +1,12 @@
 import itertools
 import random
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
+from graphloom.llm import _vec as v
 from graphloom.llm import minhash as m
 
 from .helpers import docs, empty, odd_rows, prose, words
@@ -94,3 +98,62 @@ def test_edge_cases(spark):
     nulls = docs(spark, [(None, "some words that are equal"), (7, "some words that are equal")])
     assert [x.group_id for x in m.near_duplicates(nulls).collect()] == [7, 7]
     assert [x.doc_id for x in m.deduplicate(nulls).collect()] == [7]
+
+
+def test_pieces_of_a_long_text_give_all_its_shingles():
+    for text in (prose(900, 1), " " * 500 + "one two three", "x" * 900, prose(3, 1) + " " * 400 + prose(200, 2), " " * 700):
+        data, offs = v.buffers(pa.array(["before", text, "after"]))
+        want = {int(h) for _, hs in v.distinct_shingles(data, offs, 1, 2, 3) for h in hs}
+        old, v.PIECE_BYTES = v.PIECE_BYTES, 64
+        v.pieces.__defaults__ = (64,)
+        try:
+            parts = [hs for _, hs in v.distinct_shingles(data, offs, 1, 2, 3)]
+        finally:
+            v.PIECE_BYTES, v.pieces.__defaults__ = old, (old,)
+        assert {int(h) for hs in parts for h in hs} == want
+
+
+def test_repetition_costs_neither_time_nor_memory():
+    column = pa.array(["spam " * 2_000_000])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), column], ["i", "k", "t"])
+    list(m._sign(3, 128, 32)([batch.slice(0, 0)]))
+    tracemalloc.start()
+    began = time.perf_counter()
+    out = list(m._sign(3, 128, 32)([batch]))
+    assert len(out) == 1 and time.perf_counter() - began < 10
+    assert tracemalloc.get_traced_memory()[1] < 900e6
+    tracemalloc.stop()
+
+
+def test_large_bands_lose_no_link(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(12):
+        base = prose(60, 700 + i % 4)
+        rows += [(len(rows) + k, noisy(base, 0.12, r)) for k in range(8)]
+    d = docs(spark, rows)
+    group = lambda p: sorted((x["__gl_id"], x["rep"], x["n"]) for x in m.near_groups(d, paired=p).collect())
+    assert group(1) == group(10**9) and len(group(1)) > 20
+
+
+def test_a_band_of_unlike_members_stays_linear(spark):
+    rng = np.random.default_rng(4)
+    n, slots = 3_000, 128
+    sig = rng.integers(0, 65536, (n, slots)).astype(np.uint16)
+    sig[:, :4] = 7  # the band
+    sig[:, 4:60] = 9  # a template, less than the threshold
+    for a, b in ((1000, 2000), (1500, 2500)):
+        sig[b, :70] = sig[a, :70]
+    sigs = spark.createDataFrame([(i, row.tobytes()) for i, row in enumerate(sig)], "s long, sig binary")
+    members = spark.createDataFrame([(i, 5, n) for i in range(n)], "s long, band long, n long")
+    none = spark.createDataFrame([], "u long, root long")
+    assert m.rare_keys(members.selectExpr("band", "s", "s as c"), sigs, slots, 0.5).count() < n
+    out = {x.u: x.root for x in m.join_apart(members, sigs, none, slots, 0.5).collect()}
+    assert out == {2000: 1000, 2500: 1500}
+
+
+def test_other_columns_decide_between_equal_rows(spark):
+    rows = [(1, "the same few words", {"a": i}, i) for i in (3, 1, 2)]
+    for order in itertools.permutations(rows):
+        d = spark.createDataFrame(list(order), "doc_id long, text string, m map<string,int>, h int").repartition(3)
+        assert [x.h for x in m.deduplicate(d).collect()] == [1]
