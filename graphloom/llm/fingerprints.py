@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as v
+from ._rows import saved
 
 SHINGLE = 5
 K = 128
+#: Smallest hashes by which documents meet.
+LOW = 8
 _RANGE = float(1 << 64)
 
 
@@ -27,12 +30,14 @@ def _sketches(k: int, size: int):
         for batch in batches:
             data, offs = v.buffers(batch.column(1))
             for lo, hi in v.chunks(offs):
-                doc, h = v.shingles(v.words(data, offs, lo, hi), size)
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                doc, h = doc[new], h[new]
+                # a long document comes in pieces, whose sketches merge
+                held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=v.U64)
+                for doc, h in v.distinct_shingles(data, offs, lo, hi, size):
+                    if len(held[1]):
+                        h = np.union1d(held[1][:k], h)
+                        doc = np.zeros(len(h), dtype=np.int64)
+                    held = doc, h
+                doc, h = held
                 total = np.bincount(doc, minlength=hi - lo)
                 rank = np.arange(len(doc)) - np.repeat(np.cumsum(total) - total, total)
                 h = h[rank < k]
@@ -121,33 +126,44 @@ def compare(a: DataFrame, b: DataFrame, pairs: DataFrame, k: int = K) -> DataFra
     return pairs.select("a_id", "b_id").join(left, "a_id").join(right, "b_id").select("a_id", "b_id", resemblance(x, y, k).alias("resemblance"), containment(x, y, k).alias("a_in_b"), containment(y, x, k).alias("b_in_a"))
 
 
-def families(docs: DataFrame, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_distinct, head_id, resemblance, containment, sketch) of every document.
+def families(docs: DataFrame, k: int = K, shingle: int = SHINGLE, low: int = LOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_distinct, n_copies, head_id, resemblance, containment, sketch) of every document.
 
-    Documents that share their smallest hash (a MinHash match, so with the
-    probability of their resemblance) form a family; its head is the least id.
-    Each document is compared with its head: the estimated resemblance, and the
-    share of the document's shingles that the head contains.  A document alone
-    with its smallest hash, or with an empty sketch, is its own head.
+    Documents with equal sketches are one class, however many they are
+    (``n_copies``), and its least id speaks for it.  A class is compared with
+    the head of each of its ``low`` smallest hashes: the least id of all classes
+    with that hash among their own smallest.  Of the heads the one with the
+    highest estimated resemblance or containment is taken, of equals the least
+    id; ``containment`` is the share of the document's shingles that the head
+    contains.  Two documents of resemblance r meet in a hash with a probability
+    of about 1 - (1 - r) ** low.  A class without another head is its own, and
+    so is a document with an empty sketch.
 
-    Rows with a null id are compared with their head as any other but are never
-    one; of several rows with the head's id the one with the least sketch is
-    compared.  Only the heads' sketches are gathered by id.
+    Ids of one class with a null among them are spoken for by the others; a class
+    of null ids alone is never a head of others and has a null head.  Texts have
+    any length; long ones are sketched piece by piece.  Each document is sketched
+    once, and hot hashes have one head each, so nothing grows with their size.
     """
-    sketches = fingerprints(docs, k, shingle, id_col, text_col)
-    low = F.element_at("sketch", 1)
-    slim = sketches.where(F.size("sketch") > 0).select(low.alias("__gl_low"), "doc_id")
-    heads = slim.groupBy("__gl_low").agg(F.min("doc_id").alias("head_id"), F.count(F.lit(1)).alias("__gl_n")).where("__gl_n > 1 and head_id is not null").drop("__gl_n")
-    with_head = sketches.withColumn("__gl_low", F.when(F.size("sketch") > 0, low)).join(heads, "__gl_low", "left")
-    chosen = sketches.withColumn("__gl_low", F.when(F.size("sketch") > 0, low)).join(heads, "__gl_low")
-    of_head = chosen.where("doc_id = head_id").groupBy("__gl_low").agg(F.min("sketch").alias("__gl_head"))
-    a, b = F.col("sketch"), F.col("__gl_head")
-    whole = F.when(F.size(a) > 0, 1.0).otherwise(0.0)
-    return with_head.join(of_head, "__gl_low", "left").select(
+    rows = saved(fingerprints(docs, k, shingle, id_col, text_col).withColumn("__gl_s", F.when(F.size("sketch") > 0, F.xxhash64("sketch"))))
+    placed = rows.repartition("__gl_s")
+    classes = placed.where("__gl_s is not null").groupBy("__gl_s").agg(F.min("doc_id").alias("__gl_rep"), F.count(F.lit(1)).alias("n_copies"), F.first("sketch").alias("sketch"))
+    classes = saved(classes)
+    lows = classes.where("__gl_rep is not null").select("__gl_s", "__gl_rep", F.explode(F.slice("sketch", 1, low)).alias("h"))
+    head = lows.groupBy("h").agg(F.min(F.struct("__gl_rep", "__gl_s")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = classes.select("__gl_s", F.explode(F.slice("sketch", 1, low)).alias("h")).join(head, "h").where("__gl_s != head.__gl_s")
+    met = met.select("__gl_s", F.col("head.__gl_s").alias("__gl_t"), F.col("head.__gl_rep").alias("head_id")).distinct()
+    left, right = classes.select("__gl_s", F.col("sketch").alias("__gl_a")), classes.select(F.col("__gl_s").alias("__gl_t"), F.col("sketch").alias("__gl_b"))
+    a, b = F.col("__gl_a"), F.col("__gl_b")
+    compared = met.join(right, "__gl_t").join(left, "__gl_s").select("__gl_s", "head_id", resemblance(a, b, k).alias("r"), containment(a, b, k).alias("c"))
+    best = compared.groupBy("__gl_s").agg(F.min(F.struct((-F.greatest("r", "c")).alias("x"), "head_id", "r", "c")).alias("b"))
+    whole = F.when(F.col("__gl_s").isNotNull(), 1.0).otherwise(0.0)
+    known = classes.drop("sketch").join(best, "__gl_s", "left").select("__gl_s", "n_copies", F.coalesce("b.head_id", "__gl_rep").alias("head_id"), F.coalesce("b.r", F.lit(1.0)).alias("r"), F.coalesce("b.c", F.lit(1.0)).alias("c"))
+    return placed.join(known, "__gl_s", "left").select(
         "doc_id",
         "n_distinct",
-        F.coalesce("head_id", "doc_id").alias("head_id"),
-        F.when(b.isNull(), whole).otherwise(resemblance(a, b, k)).alias("resemblance"),
-        F.when(b.isNull(), whole).otherwise(containment(a, b, k)).alias("containment"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        F.when(F.col("__gl_s").isNull(), F.col("doc_id")).otherwise(F.col("head_id")).alias("head_id"),
+        F.coalesce("r", whole).alias("resemblance"),
+        F.coalesce("c", whole).alias("containment"),
         "sketch",
     )
