@@ -23,6 +23,8 @@ from ._rows import ID
 #: Bytes of sample text in each language's dictionary, and the most documents they are taken from.
 DICT_BYTES = 64 << 10
 SAMPLE_DOCS = 200
+#: Pieces that a long sample text gives, evenly spread over it.
+SPREAD = 16
 #: Bytes of a piece.
 PIECE = 4 << 10
 #: Log2 of the tries per match.
@@ -43,13 +45,15 @@ def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, sample_docs: int =
 
     The sample is the documents of least text hash, so it does not depend on
     order or partitioning; each gives at most an equal share of the dictionary,
-    of which what others leave unused goes to longer ones.  Rows with a null or
+    of which what others leave unused goes to longer ones.  A longer text gives
+    pieces from all over it.  Extra columns are ignored.  Rows with a null or
     empty text or a null language are ignored; equal texts count once a language.
     """
     rows = labelled.select(labelled[lang_col].cast("string").alias("l"), _clean(labelled[text_col]).alias("t")).where("l is not null and length(trim(t)) > 0").withColumn("h", F.xxhash64("t"))
     # ranks come before texts are shuffled: each task passes on its first rows only
     first = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample_docs)
-    sample = first.groupBy("l", "r").agg(F.first(F.substring("t", 1, dict_bytes)).alias("t")).orderBy("l", "r").collect()
+    spread = F.concat(*(F.substring("t", (F.length("t") * (i / SPREAD)).cast("int") + 1, F.lit(dict_bytes // SPREAD)) for i in range(SPREAD)))
+    sample = first.groupBy("l", "r").agg(F.first(F.when(F.length("t") <= dict_bytes, F.col("t")).otherwise(spread)).alias("t")).orderBy("l", "r").collect()
     by: dict[str, list[bytes]] = {}
     for lang, _, text in sample:
         by.setdefault(lang, []).append(text.encode())
@@ -59,7 +63,9 @@ def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, sample_docs: int =
         taken = []
         for i, t in enumerate(parts):
             share = left // (len(parts) - i)
-            taken.append(t[:share].decode(errors="ignore").encode())
+            size = max(1, share // SPREAD)
+            some = t if len(t) <= share else b"".join(t[len(t) * j // SPREAD :][:size] for j in range(SPREAD))
+            taken.append(some.decode(errors="ignore").encode())
             left -= len(taken[-1])
         out[lang] = b"\n".join(taken)
     return out
@@ -107,8 +113,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     Ties go to the language first in order, with margin 0, and are rejected.  A
     text without a letter (null, empty, digits) has no language and is
     rejected; so is every text when there is no dictionary.  With one
-    dictionary nothing with letters is rejected.  Repeated rows each give a
-    row, null ids stay, extra columns are ignored whatever their names.
+    dictionary nothing with letters is rejected.  Texts have any length and are
+    compressed whole.  Repeated rows each give a row, null ids stay, extra
+    columns are ignored whatever their names, no rows give no rows.
     """
     text = F.trim(_clean(docs[text_col]))
     source = docs.select(docs[id_col].alias(ID), F.when(F.length(text) > 0, text).alias("t"))

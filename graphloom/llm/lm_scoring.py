@@ -261,8 +261,9 @@ def score(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_co
 
     log_prob is the natural logarithm of the whole text's probability.  A null
     or empty text has 0 bytes, log_prob 0 and null bits.  A NUL byte in a text
-    counts as the mark before its start.  Repeated rows each give a row, null
-    ids stay, extra columns are ignored whatever their names.
+    counts as the mark before its start.  Texts have any length and are
+    traversed whole, in lanes.  Repeated rows each give a row, null ids stay,
+    extra columns are ignored whatever their names, no rows give no rows.
     """
     source = docs.select(docs[id_col].alias(ID), docs[text_col].cast("string"))
     kind = source.schema[ID].dataType.simpleString()

@@ -113,7 +113,7 @@ def count_tokens(docs: DataFrame, path: str = vocabulary.RANKS, pattern: str = v
 
     A null text has a null count, an empty one 0.  A word that is itself a
     token counts 1, as byte-pair merging of it would.  Equal pairs merge from
-    the left.  Repeated rows each give a row, null ids stay, extra columns are
+    the left.  Texts and words have any length.  Repeated rows each give a row, null ids stay, extra columns are
     ignored whatever their names, no rows give no rows.
     """
     source = docs.select(docs[id_col].alias(ID), docs[text_col].cast("string"))

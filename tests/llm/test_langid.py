@@ -1,5 +1,9 @@
+import itertools
 import random
 
+import regex
+import zstandard
+
 from graphloom.llm import langid as m
 
 from .helpers import docs, empty, odd_rows
@@ -46,3 +50,34 @@ def test_edge_cases(spark):
     assert m.identify(empty(spark), d).count() == 0 and m.keep_identified(empty(spark), d).count() == 0
     assert m.train(labelled(spark).limit(0)) == {}
     assert all(r.rejected and r.language is None for r in m.identify(docs(spark, rows), {}).collect())
+
+
+def test_matches_brute_force(spark):
+    """Sizes, margin and rejection text by text, each piece with a compressor of its own."""
+    d = m.train(labelled(spark, 20), dict_bytes=4096)
+    rows = [*odd_rows(), *((20 + i, text(lang, n, i) + " 12, é!") for i, (lang, n) in enumerate(itertools.product(SYLLABLES, (1, 3, 10, 50, 9000)))), (90, "x" * 30_000)]
+    setting = dict(window_log=17, chain_log=16, hash_log=16, search_log=m.SEARCH, min_match=3, strategy=zstandard.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    def size(raw, lang):
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(**setting))
+        return len(c.compress(raw))
+
+    want = []
+    for i, t in rows:
+        raw = regex.sub(r"[^\p{L}\p{M}]+", " ", t or "").lower().strip(" ").encode()
+        if not raw:
+            want.append((i, None, True))
+            continue
+        total = {lang: sum(size(raw[a : a + m.PIECE], lang) - size(b"", lang) for a in range(0, len(raw), m.PIECE)) for lang in d}
+        best = min(sorted(total), key=total.get)
+        second = sorted(total.values())[1]
+        want.append((i, best, (second - total[best]) / second < m.MARGIN))
+    got = [(r.doc_id, r.language, r.rejected) for r in m.identify(docs(spark, rows), d).collect()]
+    key = lambda x: str(x)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_a_long_sample_text_gives_pieces_from_all_over(spark):
+    rows = spark.createDataFrame([(1, text("en", 3000, 1) + " " + text("de", 3000, 1), "x")], "doc_id long, text string, lang string")
+    d = m.train(rows, dict_bytes=4096)["x"].decode()
+    assert len(d) > 3500 and "keit" in d and "ing" in d
