@@ -70,9 +70,9 @@ def hints(level: str, n_files: int, n_sites: int, public: bool, by_method: bool,
 def risks(g: SymbolGraph, ids: list[str], depth: int = 2, limit: int | None = 100) -> DataFrame:
     """(id, files, sites, dependencies, score, level) of many nodes by two walks, not two for each."""
     seeds = seed_frame(g, *ids)
-    known = g.nodes.select(F.col("id").alias("next"))
-    up = bfs(adjacency(g.edges, "in", ("calls",)).join(known, "next", "left_semi"), seeds, depth, limit)
-    down = bfs(adjacency(g.edges, "out").join(known, "next", "left_semi"), seeds, depth, limit)
+    known = g.nodes.select(F.col("id").alias("node"))
+    up = bfs(adjacency(g.edges, "in", ("calls",)), seeds, depth, limit, known=known)
+    down = bfs(adjacency(g.edges, "out"), seeds, depth, limit, known=known)
     where = g.nodes.select(F.col("id").alias("node"), "file")
     files = up.join(where, "node").groupBy("seed").agg(F.countDistinct("file").alias("files"))
     needs = down.groupBy("seed").agg(F.count(F.lit(1)).alias("dependencies"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,28 +13,61 @@ from ..graph import SymbolGraph
 from ..runtime import saved
 from .impact import risks
 from .lookup import find_nodes
+from .traverse import HELD as BROADCAST
+from .traverse import Steps
+
+#: Up to this many pairs are peeled in one task; beyond, by joins, level by level.
+HELD = 2_000_000
 
-#: Up to this many edges an order is computed on the driver; beyond, by peeling levels.
-SMALL = 100_000
 
+def _peel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, level) of all pairs: each level is an array operation over the steps into the one before."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    ids = pa.chunked_array([*t.column(0).chunks, *t.column(1).chunks]).combine_chunks().dictionary_encode()
+    at = ids.indices.to_numpy()
+    f, into = at[: t.num_rows], at[t.num_rows :]
+    size = len(ids.dictionary)
+    by = np.argsort(into, kind="stable")
+    users, first = f[by], np.searchsorted(into[by], np.arange(size + 1))
+    left, level = np.bincount(f, minlength=size), np.full(size, -1)
+    now, number = np.flatnonzero(left == 0), 0
+    while len(now):
+        level[now] = number
+        n = first[now + 1] - first[now]
+        place = np.arange(n.sum()) + np.repeat(first[now] - (np.cumsum(n) - n), n)
+        who, times = np.unique(users[place], return_counts=True)
+        left[who] -= times
+        now, number = who[left[who] == 0], number + 1
+    done = np.flatnonzero(level >= 0)
+    yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(done)), pa.array(level[done].astype(np.int32))], ["id", "level"])
 
-def topo_levels(pairs: DataFrame, max_levels: int = 1000) -> DataFrame:
+
+def topo_levels(pairs: DataFrame, held: int = HELD) -> DataFrame:
     """(id, level) of (f, t) pairs, f needing t: 0 needs nothing, others come after all they need.
 
-    Nodes on or behind a cycle have no level and are left out.  Each pass peels
-    one level by an anti join, so passes are as many as the longest chain.
+    Nodes on or behind a cycle have no level and are left out; so are null ends
+    and pairs of equals.  Up to ``held`` pairs are peeled in one task.  Of more,
+    each pass counts down what the nodes still need; the pairs stay where they
+    are, and passes are as many as the longest chain, however long.
     """
-    rest = saved(pairs.select("f", "t").where("f != t").distinct())
-    ids = saved(rest.select(F.explode(F.array("f", "t")).alias("id")).distinct())
-    out = ids.limit(0).select("id", F.lit(0).alias("level"))
-    for level in range(max_levels):
-        free = saved(ids.join(rest.select(F.col("f").alias("id")).distinct(), "id", "left_anti"))
-        if free.isEmpty():
-            break
-        out = out.unionByName(free.select("id", F.lit(level).alias("level")))
-        ids = saved(ids.join(free, "id", "left_anti"))
-        rest = saved(rest.join(free.select(F.col("id").alias("t")), "t", "left_anti").select("f", "t"))
-    return out
+    rest = saved(pairs.select(F.col("f").cast("string").alias("f"), F.col("t").cast("string").alias("t")).where("f != t").distinct())
+    if rest.count() <= held:
+        return rest.coalesce(1).mapInArrow(_peel, "id string, level int")
+    needs = rest.select(F.explode(F.array(F.struct(F.col("f").alias("id"), F.lit(1).alias("n")), F.struct(F.col("t").alias("id"), F.lit(0).alias("n")))).alias("e")).groupBy("e.id").agg(F.sum("e.n").alias("left"))
+    nodes = saved(needs.withColumn("level", F.when(F.col("left") == 0, 0)))
+    steps = Steps(rest.select(F.col("t").alias("node"), F.col("f").alias("next")), BROADCAST)
+    level = 0
+    while size := nodes.where(F.col("level") == level).count():
+        now = nodes.where(F.col("level") == level).select(F.col("id").alias("parent"))
+        less = steps.meet(now, size).groupBy(F.col("next").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        left = F.col("left") - F.coalesce("n", F.lit(0))
+        level += 1
+        nodes = saved(nodes.join(less, "id", "left").select("id", left.alias("left"), F.when(F.col("level").isNull() & (left == 0), level).otherwise(F.col("level")).alias("level")))
+    steps.release()
+    return nodes.where("level is not null").select("id", "level")
 
 
 def kahn(needs: dict[str, set[str]]) -> list[str]:
@@ -94,10 +131,10 @@ def components(needs: dict[str, set[str]]) -> list[list[str]]:
     return out
 
 
-def refactor_order(g: SymbolGraph, names: list[str], depth: int = 2, limit: int = 50) -> tuple[DataFrame, list[list[str]], list[str]]:
+def refactor_order(g: SymbolGraph, names: list[str], depth: int = 2) -> tuple[DataFrame, list[list[str]], list[str]]:
     """((step, id, score, level), cycles, unresolved names) for a set of symbols to change."""
     chosen, missing = {}, []
-    for name in names[:limit]:
+    for name in names:
         rows = find_nodes(g, name).select("id", "kind").collect()
         if not rows:
             missing.append(name)

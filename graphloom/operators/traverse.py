@@ -3,11 +3,15 @@
 A level is one join of the frontier with the edges, one aggregate that keeps
 each node's first discoverer, and one anti join with what was seen before.
 Levels are written to the shared folder, so a lost executor costs no more than
-the level under way.
+the level under way.  A frontier of a checked size goes to the edges, which then
+are only scanned; a larger one meets edges that were shuffled once for the walk.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +19,11 @@ from ..functions import columns as C
 from ..graph import SymbolGraph
 from ..runtime import saved
 
-SEEN = "seed string, node string, depth int, parent string, edge_ord bigint, rank bigint"
+SEEN = "seed string, node string, depth int, parent string, edge_ord bigint, rank array<bigint>"
+#: A frontier of up to so many rows is sent to every task.
+HELD = 100_000
+#: Beyond, the steps out of a node lie in so many partitions, so that a node with a large share of all edges is split.
+SALT = 16
 
 
 def adjacency(edges: DataFrame, direction: str, kinds: tuple[str, ...] = ()) -> DataFrame:
@@ -26,41 +34,73 @@ def adjacency(edges: DataFrame, direction: str, kinds: tuple[str, ...] = ()) ->
     return {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionByName(back)}[direction]()
 
 
-def bfs(steps: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None, keep_start: bool = False) -> DataFrame:
+class Steps:
+    """Steps that frontiers of any size meet."""
+
+    def __init__(self, steps: DataFrame, held: int) -> None:
+        self.steps, self.held, self.placed = steps, held, None
+
+    def meet(self, frontier: DataFrame, size: int) -> DataFrame:
+        """The frontier, whose column ``parent`` is a node, joined with the steps out of it."""
+        if size <= self.held:
+            return F.broadcast(frontier).join(self.steps, F.col("parent") == F.col("node"))
+        if self.placed is None:
+            self.placed = self.steps.withColumn("__s", F.pmod(F.xxhash64("next"), F.lit(SALT)).cast("int")).repartition("node", "__s").persist(StorageLevel.MEMORY_AND_DISK)
+        salted = frontier.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        return salted.join(self.placed, (F.col("parent") == F.col("node")) & (F.col("__t") == F.col("__s")))
+
+    def release(self) -> None:
+        if self.placed is not None:
+            self.placed.unpersist()
+
+
+def bfs(steps: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None, keep_start: bool = False, known: DataFrame | None = None, held: int = HELD) -> DataFrame:
     """(seed, node, depth, parent, edge_ord, rank): nodes within ``depth`` steps of each seed.
 
-    ``seeds`` has a column ``seed``.  Each node appears once, by its first
-    discoverer in order of the parents' ranks and the edges' numbers.  With
-    ``limit`` a parent is expanded only while fewer than that many nodes have
-    been found before it, so the last expansion may exceed it.  ``keep_start``
-    counts the seed as seen; else it shows up again where a cycle leads to it.
+    ``seeds`` has a column ``seed``; ``known``, if given, a column ``node`` with
+    all nodes that may be entered.  Each node appears once, by its first
+    discoverer; ``rank``, the numbers of the edges that lead to it, orders nodes
+    of a level as a queue would meet them.  With ``limit`` a parent is expanded
+    only while fewer than that many nodes have been found before it, so the last
+    expansion may exceed it.  ``keep_start`` counts the seed as seen; else it
+    shows up again where a cycle leads to it.
     """
     spark = steps.sparkSession
-    frontier = saved(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("rank")).distinct())
+    met = Steps(steps, held)
+    frontier = saved(seeds.select("seed", F.col("seed").alias("node"), F.array().cast("array<bigint>").alias("rank")).distinct())
+    size = frontier.count()
     levels = [frontier.select("seed", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("bigint").alias("edge_ord"), "rank")] if keep_start else []
+    total = size if keep_start else 0
     for level in range(1, depth + 1):
-        step = frontier.select("seed", F.col("node").alias("parent"), F.col("rank").alias("parent_rank")).join(steps, F.col("parent") == F.col("node")).select("seed", F.col("next").alias("node"), F.struct("parent_rank", "edge_ord", "parent").alias("by"))
+        here = frontier.select("seed", F.col("node").alias("parent"), F.col("rank").alias("parent_rank"))
+        step = met.meet(here, size).select("seed", F.col("next").alias("node"), F.struct("parent_rank", "edge_ord", "parent").alias("by"))
         new = step.groupBy("seed", "node").agg(F.min("by").alias("by"))
-        for seen in levels:
-            new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        if levels:
+            seen = reduce(DataFrame.unionByName, (x.select("seed", "node") for x in levels))
+            new = new.join(F.broadcast(seen) if total <= held else seen, ["seed", "node"], "left_anti")
+        if known is not None:
+            new = new.join(known.select("node"), "node", "left_semi")
         new = new.select("seed", "node", "by.*")
         if limit is not None:
+            # while anything is expanded fewer than ``limit`` nodes of a seed are known, so are its parents
             counts = new.groupBy("seed", "parent_rank").agg(F.count(F.lit(1)).alias("n"))
             before = F.coalesce(F.sum("n").over(Window.partitionBy("seed").orderBy("parent_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             found = spark.createDataFrame([], "seed string, total bigint")
-            for seen in levels:
-                found = found.unionByName(seen.where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("total")))
+            for x in levels:
+                found = found.unionByName(x.where("depth > 0").groupBy("seed").agg(F.count(F.lit(1)).alias("total")))
             found = found.groupBy("seed").agg(F.sum("total").alias("total"))
             open_ = counts.withColumn("before", before).join(found, "seed", "left").where(F.col("before") + F.coalesce("total", F.lit(0)) < limit)
             new = new.join(open_.select("seed", "parent_rank"), ["seed", "parent_rank"])
-        rank = F.row_number().over(Window.partitionBy("seed").orderBy("parent_rank", "edge_ord")).cast("bigint")
-        frontier = saved(new.select("seed", "node", F.lit(level).alias("depth"), "parent", "edge_ord", rank.alias("rank")))
-        if frontier.isEmpty():
+        frontier = saved(new.select("seed", "node", F.lit(level).alias("depth"), "parent", "edge_ord", F.concat("parent_rank", F.array("edge_ord")).alias("rank")))
+        size = frontier.count()
+        if not size:
             break
         levels.append(frontier)
+        total += size
+    met.release()
     out = spark.createDataFrame([], SEEN)
-    for seen in levels:
-        out = out.unionByName(seen)
+    for x in levels:
+        out = out.unionByName(x)
     return out if keep_start else out.where("depth > 0")
 
 
@@ -70,8 +110,7 @@ def seed_frame(g: SymbolGraph, *ids: str) -> DataFrame:
 
 def walk(g: SymbolGraph, node_id: str, direction: str, kinds: tuple[str, ...] = (), depth: int = 2, limit: int | None = 100, keep_start: bool = False) -> DataFrame:
     """(id, kind, qualified_name, file, depth, parent): what a node reaches, or is reached from."""
-    steps = adjacency(g.edges, direction, kinds).join(g.nodes.select(F.col("id").alias("next")), "next", "left_semi")
-    found = bfs(steps, seed_frame(g, node_id), depth, limit, keep_start)
+    found = bfs(adjacency(g.edges, direction, kinds), seed_frame(g, node_id), depth, limit, keep_start, g.nodes.select(F.col("id").alias("node")))
     return found.join(g.nodes.select(F.col("id").alias("node"), "kind", "name", "qualified_name", "file"), "node").select(F.col("node").alias("id"), "kind", "name", "qualified_name", "file", "depth", "parent", "rank")
 
 
@@ -90,21 +129,28 @@ def shortest_path(g: SymbolGraph, start: str, end: str, max_depth: int = 6) -> D
     spark = g.nodes.sparkSession
     if start == end:
         return g.nodes.where(F.col("id") == start).limit(1).select(F.lit(0).alias("position"), "id")
-    steps = g.edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    seen = frontier = saved(spark.createDataFrame([(start, [start])], "node string, path array<string>"))
+    steps = Steps(g.edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), HELD)
+    frontier = saved(spark.createDataFrame([(start, [start])], "node string, path array<string>"))
+    levels, size, total = [frontier], 1, 1
     for _ in range(max_depth):
-        new = frontier.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
-        frontier = saved(new.join(seen.select("node"), "node", "left_anti"))
-        if not frontier.where(F.col("node") == end).isEmpty() or frontier.isEmpty():
+        step = steps.meet(frontier.select(F.col("node").alias("parent"), "path"), size)
+        new = step.groupBy(F.col("next").alias("node")).agg(F.min("path").alias("path"))
+        seen = reduce(DataFrame.unionByName, (x.select("node") for x in levels))
+        new = new.join(F.broadcast(seen) if total <= HELD else seen, "node", "left_anti")
+        frontier = saved(new.select("node", F.concat("path", F.array("node")).alias("path")))
+        n = frontier.agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.bool_or(F.col("node") == end), F.lit(False)).alias("there")).first()
+        if n.there or not n.size:
             break
-        seen = seen.unionByName(frontier)
+        levels.append(frontier)
+        size, total = n.size, total + n.size
+    steps.release()
     return frontier.where(F.col("node") == end).select(F.posexplode("path").alias("position", "id"))
 
 
 def closure_sizes(pairs: DataFrame, depth: int = 5) -> DataFrame:
     """(start, reached): how many others each start of (f, t) pairs reaches within ``depth`` steps."""
-    steps = pairs.select(F.col("f").alias("node"), F.col("t").alias("next"), F.lit(0).cast("bigint").alias("edge_ord")).distinct()
-    found = bfs(steps, pairs.select(F.col("f").alias("seed")).distinct(), depth)
+    steps = saved(pairs.select(F.col("f").alias("node"), F.col("t").alias("next"), F.lit(0).cast("bigint").alias("edge_ord")).distinct())
+    found = bfs(steps, steps.select(F.col("node").alias("seed")).distinct(), depth)
     return found.where("node != seed").groupBy(F.col("seed").alias("start")).agg(F.count(F.lit(1)).alias("reached"))
 
 

@@ -14,8 +14,11 @@ SYMBOL_KINDS = {2: "module", 5: "struct", 6: "method", 7: "property", 8: "field"
 
 
 def mir_calls(lines: DataFrame) -> DataFrame:
-    """(owner, target) of (line_no, value): ``fn`` lines set the owner, ``x = callee(..) -> `` lines are its calls."""
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    """(owner, target) of (line_no, value): ``fn`` lines set the owner, ``x = callee(..) -> `` lines are its calls.
+
+    Lines of several outputs have a column ``file`` and are taken file by file.
+    """
+    w = Window.partitionBy(*(["file"] if "file" in lines.columns else [])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.regexp_extract("value", r"^fn ([^(]+)\(", 1)
     call = F.regexp_extract("value", r"= ([^=(]+)\(.*\) -> ", 1)
     rows = lines.select("line_no", F.last(F.when(head != "", head), True).over(w).alias("owner"), F.regexp_replace(F.trim(call), "::<.*>", "").alias("target"))

@@ -87,6 +87,26 @@ def test_walk_equals_a_queue(spark, seed, limit, keep):
     assert [(x.id, x.depth, x.parent) for x in found] == fifo(adj, start, 3, limit, keep)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_walks_by_shuffle_equal_walks_by_broadcast(spark, seed):
+    r = random.Random(seed)
+    pairs = [("n0", f"n{r.randrange(30)}") for _ in range(40)] + [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(60)]
+    steps = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "node string, next string, edge_ord long")
+    seeds = spark.createDataFrame([("n0",), ("n5",)], "seed string")
+    known = spark.createDataFrame([(f"n{i}",) for i in range(28)], "node string")
+    for limit in (None, 7):
+        one, other = (sorted(map(tuple, traverse.bfs(steps, seeds, 3, limit, False, known, held).collect())) for held in (1000, 0))
+        assert one == other and one
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_levels_of_long_chains_and_cycles(spark, held):
+    pairs = [(str(i), str(i + 1)) for i in range(12)] + [("a", "b"), ("b", "c"), ("c", "b"), ("x", "3"), ("q", None), ("z", "z"), ("x", "3")]
+    got = {r.id: r.level for r in order.topo_levels(spark.createDataFrame(pairs, "f string, t string"), held).collect()}
+    assert got == {str(i): 12 - i for i in range(13)} | {"x": 10}
+    assert order.topo_levels(spark.createDataFrame([], "f string, t string"), held).count() == 0
+
+
 def test_paths_and_orders(spark, risky):
     assert [r.id for r in traverse.shortest_path(risky, "function:caller_a", "function:dep2").orderBy("position").collect()] == ["function:caller_a", "function:target_fn", "function:dep2"]
     assert traverse.shortest_path(risky, "function:dep1", "function:dep2").count() == 0
@@ -140,7 +160,7 @@ def test_evidence(spark, risky):
     assert s == [("src/dep.rs", "dep1", "function", 1), ("src/dep.rs", "x", "unknown", 4)]
     c = evidence.confirm_symbols(risky.nodes, spark.createDataFrame(s, "file string, name string, kind string, line long"))
     assert [r.name for r in c.where("confirmed").collect()] == ["dep1"]
-    rows = gitlog.parse(spark.createDataFrame(list(enumerate(["__COMMIT__ann", "", "a.rs", "b.rs", "__COMMIT__bob", "a.rs"])), "line_no long, value string")).collect()
+    rows = gitlog.parse(spark.createDataFrame([(0, "ann\n\na.rs\nb.rs\n\n"), (1, "bob\n\na.rs\n"), (2, "eve\n")], "commit long, value string")).collect()
     assert [(r.author, r.file) for r in rows] == [("ann", "a.rs"), ("ann", "b.rs"), ("bob", "a.rs")]
 
 
