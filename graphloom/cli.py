@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import shutil
 import sys
 
 from pyspark.sql import SparkSession
@@ -15,8 +16,9 @@ from .operators import guide as G
 from .operators import health as H
 from .operators import impact as I
 from .operators import lookup, metrics, order, rank, sets, traverse
-from .operators.render import repo_map, report, to_json
+from .operators.render import repo_map, report, to_json, to_rows
 from .sources import gitlog, graphfile, rust
+from .sources.snippets import snippets
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +30,12 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--no-tests", action="store_true")
     i.add_argument("--max-depth", type=int, default=4)
     i.add_argument("--output")
+    i.add_argument("--profile", default="default")
+    i.add_argument("--features", default="", help="names, parted by commas")
+    i.add_argument("--all-features", action="store_true")
+    i.add_argument("--no-default-features", action="store_true")
+    i.add_argument("--target")
+    i.add_argument("--mir", help="file or folder with the compiler's intermediate text")
     groups = {
         "query": "stats summary symbols inspect trace find scope impact risk path export",
         "nav": "guide quality health report map retrieve",
@@ -46,7 +54,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--direction", choices=["up", "down", "both"], default="both")
             c.add_argument("--candidates", type=int, default=80)
             c.add_argument("--budget", type=int, default=8000)
-            c.add_argument("--base")
+            c.add_argument("--base", help="a commit, or the file of another graph")
+            c.add_argument("--output")
+            c.add_argument("--no-source", action="store_true")
             for flag in ("dead", "no-docs", "test-only", "filter-first"):
                 c.add_argument(f"--{flag}", action="store_true")
             for number in ("min-callers", "max-callers", "min-degree", "max-degree"):
@@ -73,7 +83,8 @@ def answer(spark: SparkSession, g: SymbolGraph, a: argparse.Namespace) -> str:
                 return to_json("ambiguous", G.compact(found))
             node = one()
             both = lookup.adjacent(g, node, "in", limit=100).withColumn("way", F.lit("in")).unionByName(lookup.adjacent(g, node, "out", limit=100).withColumn("way", F.lit("out")))
-            return to_json("symbol", both, id=node)
+            text = None if a.no_source else snippets(g, g.nodes.where(F.col("id") == node), g.root or a.project).first()
+            return to_json("symbol", both, id=node, **({"source": text.asDict()} if text else {}))
         case "trace":
             return to_json("trace", traverse.trace(g, one(), a.direction, a.depth, a.limit).orderBy("way", "depth", "rank"))
         case "find":
@@ -81,11 +92,13 @@ def answer(spark: SparkSession, g: SymbolGraph, a: argparse.Namespace) -> str:
         case "scope":
             return to_json("scope", lookup.scope_file(g, a.names[0]) if a.kind == "file" else lookup.scope_module(g, a.names[0]))
         case "impact" | "risk":
-            i = I.impact(g, one(), a.depth, a.limit)
+            node = one()
+            public = not g.nodes.where((F.col("id") == node) & (F.col("visibility") == "pub")).isEmpty()
+            i = I.impact(g, node, a.depth, a.limit)
             r = i.risk.first().asDict()
             tests = [t.id.rsplit("::", 1)[-1] for t in traverse.test_impact(g, a.names[0]).collect()]
             sites = i.call_sites.collect()
-            hints = I.hints(r["level"], r["files"], r["sites"], True, any(s.call_style == "method" for s in sites), r["dependencies"])
+            hints = I.hints(r["level"], r["files"], r["sites"], public, any(s.call_style == "method" for s in sites), r["dependencies"])
             return to_json(a.command, i.files if a.command == "impact" else i.risk, risk=r, hints=hints, commands=I.advice(r["level"], tests))
         case "path":
             return to_json("path", traverse.shortest_path(g, one(), lookup.require_unique(g, a.names[1])["id"], a.depth).orderBy("position"))
@@ -101,7 +114,11 @@ def answer(spark: SparkSession, g: SymbolGraph, a: argparse.Namespace) -> str:
         case "health":
             return to_json("health", H.health(g))
         case "report":
-            return report(g)
+            text = report(g)
+            if a.output:
+                with open(a.output, "w") as f:
+                    f.write(text)
+            return text
         case "map":
             return repo_map(g, a.budget)
         case "retrieve":
@@ -115,13 +132,33 @@ def answer(spark: SparkSession, g: SymbolGraph, a: argparse.Namespace) -> str:
         case "hotspots":
             return to_json("hotspots", by(K.hotspots(g, gitlog.log(spark, a.project)), "risk", "file"))
         case "diff":
-            return to_json("diff", sets.diff(graphfile.load(spark, a.base), g, a.limit))
+            return diff(spark, g, a)
         case "refactor-order":
-            steps, cycles, missing = order.refactor_order(g, a.names, a.depth, a.limit)
+            steps, cycles, missing = order.refactor_order(g, a.names, a.depth)
             return to_json("refactor_order", steps.orderBy("step"), cycles=cycles, unresolved=missing)
     raise ValueError(a.command)
 
 
+def diff(spark: SparkSession, g: SymbolGraph, a: argparse.Namespace) -> str:
+    """Edges that came and went since another graph, or since a commit, whose files are unpacked and indexed."""
+    if a.base and os.path.exists(a.base):
+        return to_json("diff", sets.diff(graphfile.load(spark, a.base), g, a.limit), base=a.base)
+    base = a.base or "HEAD"
+    top = gitlog.top_folder(a.project)
+    changed = gitlog.changed_files(spark, top, base)
+    before = gitlog.checkout(spark, top, base)
+    try:
+        inside = os.path.join(before, os.path.relpath(os.path.realpath(a.project), os.path.realpath(top)))
+        # the project's own name holds the folder it lies in
+        own = lambda x: SymbolGraph(x.nodes, x.edges.where(~F.col("src").startswith("project:")))
+        edges = to_rows(sets.diff(own(rust.index(spark, inside, False, f"base-{base}")), own(g), a.limit))
+    finally:
+        shutil.rmtree(before, ignore_errors=True)
+    targets = [(t["name"], t["src_path"]) for p in g.packages for t in p["targets"]]
+    hit = K.changed_targets(spark.createDataFrame(targets, "name string, src_path string"), changed)
+    return to_json("diff", changed.orderBy("file"), base=base, edges=edges, health=to_rows(H.health(g))[0], changed_targets=to_rows(hit.orderBy("name", "src_path")))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("graphloom").getOrCreate()
@@ -129,7 +166,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         failed = 0
         for folder in rust.find_projects(a.project, a.max_depth) if a.all else [a.project]:
             try:
-                graphfile.save(rust.index(spark, folder, not a.no_tests), a.output or graphfile.default_path(folder))
+                graphfile.save(rust.index(spark, folder, not a.no_tests, a.profile, [f for f in a.features.split(",") if f], a.all_features, a.no_default_features, a.target, a.mir), a.output or graphfile.default_path(folder))
             except Exception as e:  # one project that fails does not stop the others
                 failed += 1
                 print(f"{folder}: {e}", file=sys.stderr)

@@ -23,9 +23,14 @@ def within(text: str, budget: int) -> str:
     return text if len(raw) <= budget else raw[: max(0, budget - len(CUT.encode()))].decode(errors="ignore") + CUT
 
 
+def to_rows(df: DataFrame) -> list[dict]:
+    """A result as JSON objects; nulls are written."""
+    return [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+
+
 def to_json(kind: str, df: DataFrame, **more) -> str:
-    """One JSON document of a result; nulls are written."""
-    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    """One JSON document of a result."""
+    rows = to_rows(df)
     return json.dumps({"kind": kind, **more, "count": len(rows), "rows": rows}, ensure_ascii=False)
 
 
