@@ -57,6 +57,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def doubted(g: SymbolGraph) -> SymbolGraph:
+    return SymbolGraph(g.nodes, g.edges.where("certainty = 'possible'"))
+
+
 def hub(g: SymbolGraph) -> str:
     return g.edges.where("kind = 'calls'").groupBy("dst").count().orderBy(F.desc("count"), "dst").first().dst
 
@@ -186,6 +190,8 @@ def scope_file(spark, d):
 
 
 _CALLERS = f"callers AS (SELECT dst AS id, count(*) AS n_callers, bool_and(test) AS all_tests FROM edges JOIN (SELECT id AS src, {TEST_SQL} AS test FROM nodes) t USING (src) WHERE kind = 'calls' GROUP BY dst)"
+#: A sparser graph: of the edges only those that are merely possible.
+_DOUBTED = "WHERE kind = 'calls' AND certainty = 'possible'"
 _FILTERED = "('function', 'method', 'struct', 'enum', 'trait')"
 
 
@@ -195,15 +201,15 @@ def symbols_dead(spark, d):
     return lookup.filter_symbols(g.nodes, g, dead=True).select("id", "n_callers")
 
 
-@query(graph(f"SELECT id, n_callers FROM nodes JOIN callers USING (id) WHERE kind IN {_FILTERED} AND all_tests", _CALLERS))
+@query(graph(f"SELECT id, n_callers FROM nodes JOIN callers USING (id) WHERE kind IN {_FILTERED} AND all_tests", _CALLERS.replace("WHERE kind = 'calls'", _DOUBTED)))
 def symbols_test_only(spark, d):
-    g = star(spark, d)
+    g = doubted(star(spark, d))
     return lookup.filter_symbols(g.nodes, g, test_only=True).select("id", "n_callers")
 
 
-@query(graph("SELECT id, n_callers FROM nodes JOIN callers USING (id) WHERE n_callers BETWEEN 2 AND 5", _CALLERS))
+@query(graph("SELECT id, n_callers FROM nodes JOIN callers USING (id) WHERE n_callers BETWEEN 2 AND 5", _CALLERS.replace("WHERE kind = 'calls'", _DOUBTED)))
 def symbols_min_callers(spark, d):
-    g = star(spark, d)
+    g = doubted(star(spark, d))
     return lookup.filter_symbols(g.nodes, g, min_callers=2, max_callers=5).select("id", "n_callers")
 
 
@@ -227,9 +233,9 @@ def guide_search(spark, d):
     return lookup.search_nodes(star(spark, d), "copper small").select("id", "score")
 
 
-@query(graph("SELECT id, score FROM (SELECT * FROM (SELECT id, kind, qualified_name, 1 + coalesce(degree, 0) AS score FROM nodes LEFT JOIN degree USING (id)) s ORDER BY score DESC, kind, qualified_name, id LIMIT 50) t WHERE kind = 'function'"))
+@query(graph("SELECT id, score FROM (SELECT * FROM (SELECT id, kind, qualified_name, 1 + coalesce(degree, 0) AS score FROM nodes LEFT JOIN degree USING (id)) s ORDER BY score DESC, kind, qualified_name, id LIMIT 50) t WHERE kind = 'trait'"))
 def symbols_listing(spark, d):
-    return lookup.symbols(star(spark, d), kind="function").select("id", "score")
+    return lookup.symbols(star(spark, d), kind="trait").select("id", "score")
 
 
 @query(graph(f"SELECT id, kind, start_line FROM nodes WHERE file = 'src/nation_3.rs' AND kind NOT IN {BOX_SQL}"))
@@ -403,9 +409,9 @@ def god_modules(spark, d):
     return H.god_modules(star(spark, d))
 
 
-@query(graph("SELECT * FROM dead", _DEAD))
+@query(graph("SELECT * FROM dead", _DEAD.replace("id FROM degree", "src FROM edges WHERE certainty = 'possible' UNION SELECT dst FROM edges WHERE certainty = 'possible'")))
 def dead_public(spark, d):
-    return H.dead_public(star(spark, d))
+    return H.dead_public(doubted(star(spark, d)))
 
 
 @query(
@@ -636,9 +642,9 @@ def cosine_topk(spark, d):
 # --- reading ---------------------------------------------------------------------------------------------------------
 
 
-@query(graph("SELECT e.src, e.dst, e.kind, e.weight FROM edges e WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY ord LIMIT 80", "top AS (SELECT n.id FROM nodes n LEFT JOIN degree USING (id) WHERE kind <> 'project' ORDER BY coalesce(degree, 0) DESC, n.id LIMIT 28)"))
+@query(graph("SELECT e.src, e.dst, e.kind, e.weight FROM edges e WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY ord LIMIT 80", f"top AS ({_RANKED.format(_TEXT.format(20))} AND kind <> 'project' ORDER BY score DESC, kind, qualified_name, id LIMIT 28)"))
 def overview(spark, d):
-    return reading.overview(star(spark, d))
+    return reading.overview(star(spark, d), "copper small")
 
 
 @query(
@@ -650,7 +656,7 @@ def overview(spark, d):
     )
 )
 def guide_callers(spark, d):
-    return reading.guide(star(spark, d), "copper small").callers
+    return reading.guide(star(spark, d), "copper small", limit=1_000_000).callers
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import SymbolGraph
+from ..runtime import hadoop_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -57,7 +58,7 @@ WITH_GRAPH = f"""nodes AS (SELECT *, row_number() OVER (ORDER BY id) AS ord FROM
 edges AS (SELECT *, row_number() OVER (ORDER BY src, dst, kind) AS ord FROM ({EDGES_SQL}) e0),
 degree AS (SELECT id, CAST(sum(weight) AS BIGINT) AS degree FROM (SELECT src AS id, weight FROM edges UNION ALL SELECT dst, weight FROM edges) d0 GROUP BY id)"""
 
-_GRAPHS: dict[tuple[str, str, str], SymbolGraph] = {}
+_GRAPHS: dict[tuple, SymbolGraph] = {}
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -68,6 +69,12 @@ def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{f"t_{n}": df for n, df in tables.items()})
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    fs, p = hadoop_path(spark, path)
+    status = fs.getFileStatus(p)
+    return status.getModificationTime(), status.getLen()
+
+
 def _mentions(sql: str, table: str) -> bool:
     import re
 
@@ -83,10 +90,13 @@ def _qualify(sql: str, table: str) -> str:
 def star_graph(spark: SparkSession, sf_dir: str, edges_sql: str = EDGES_SQL) -> SymbolGraph:
     """The star graph of a folder, kept in the executors' storage for the session's next queries.
 
-    Every row of ``lineitem`` gives edges; ``edges_sql`` says which.
+    Every row of ``lineitem`` gives edges; ``edges_sql`` says which.  Tables that
+    were written again give a new graph.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, edges_sql)
+    key = (spark.sparkContext.applicationId, sf_dir, edges_sql, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in TABLES))
     if key not in _GRAPHS:
+        for old in [k for k in _GRAPHS if k[:3] == key[:3]]:
+            _GRAPHS.pop(old).unpersist()
         nodes = _run(spark, sf_dir, NODES_SQL)
         edges = _run(spark, sf_dir, edges_sql)
         _GRAPHS[key] = SymbolGraph(numbered(nodes, "id"), numbered(edges, "src", "dst", "kind")).persist()

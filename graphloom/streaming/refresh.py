@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..runtime import hadoop_path
+
 #: A row of the landing folder: an edge of a file, or a file without one (src null) that has lost its edges.
 LANDED = "file string, version long, src string, dst string, kind string, weight long, source string, certainty string"
 
@@ -24,30 +25,35 @@ def merge_batch(known: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class EdgeTable:
-    """A table in versions: each batch writes a new one whole, then the pointer moves; readers see one or the other."""
+    """A table in versions, on any file system: each batch writes a new one whole, and the last one that is complete counts.
+
+    The last two versions stay, so that a reader of the one before can finish.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
+
+    def _versions(self) -> list[str]:
+        fs, done = hadoop_path(self.spark, f"{self.folder}/v*/_SUCCESS")
+        return sorted(s.getPath().getParent().getName() for s in fs.globStatus(done) or [])
 
     def current(self) -> DataFrame:
-        pointer = os.path.join(self.folder, "CURRENT")
-        if not os.path.exists(pointer):
+        versions = self._versions()
+        if not versions:
             return self.spark.createDataFrame([], LANDED)
-        with open(pointer) as f:
-            return self.spark.read.schema(LANDED).parquet(os.path.join(self.folder, f.read().strip()))
+        return self.spark.read.schema(LANDED).parquet(f"{self.folder}/{versions[-1]}")
 
     def edges(self) -> DataFrame:
         return self.current().where("src is not null")
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Merging is idempotent: a batch that is run again leaves the same rows."""
-        name = f"v{number}-{uuid.uuid4().hex[:8]}"
-        merge_batch(self.current(), batch).write.parquet(os.path.join(self.folder, name))
-        pointer = os.path.join(self.folder, "CURRENT")
-        with open(pointer + ".new", "w") as f:
-            f.write(name)
-        os.replace(pointer + ".new", pointer)
+        versions = self._versions()
+        following = int(versions[-1].split("-")[0][1:]) + 1 if versions else 0
+        merge_batch(self.current(), batch).write.parquet(f"{self.folder}/v{following:012d}-{uuid.uuid4().hex[:8]}")
+        for old in versions[:-1]:
+            fs, path = hadoop_path(self.spark, f"{self.folder}/{old}")
+            fs.delete(path, True)
 
 
 def refresh(spark: SparkSession, landing: str, table: EdgeTable, checkpoint: str) -> StreamingQuery:
