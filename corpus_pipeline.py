@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; it is written
 and read again before the next.  All but the last return the columns of
-``documents``.
+``documents``, whatever others there are beside doc_id, text, lang and n_chars
+and however they are called.  Texts have any length and are taken whole; an
+empty table stays empty.  The written result of the last stage is the caller's
+to remove.
 """
 
 from __future__ import annotations
@@ -21,27 +24,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is uncertain."""
+    """Drops documents whose language is uncertain.
+
+    A null, empty or letterless text goes, as does one whose two best languages
+    tie.  Rows without a language label or an id are judged like others; repeated
+    rows are each judged.  Without any label no language is known and all go.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that of the least id.
+
+    Of a repeated id the row with the least text hash stays, of rows equal in
+    both the one whose other columns, written as JSON, come first.  A null id
+    comes last in its group.  Texts without a word are no one's duplicates and stay.
+    """
     return minhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Rows equal in id and text share their fate; null ids and null or empty texts
+    stay.  Null, empty and repeated items, and an empty benchmark, add nothing.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal values by pseudonyms; n_chars follows the text."""
+    """Replaces personal values by pseudonyms; n_chars follows the text.
+
+    Every row stays.  A null text stays null, with a null n_chars; repeated rows
+    and equal values get equal pseudonyms.  The key is the session's.
+    """
     return pseudonyms.replace(docs, pseudonyms.key_of(spark)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes each document."""
+    """(doc_id, n_tokens, tokens) of each row.
+
+    A null text has null tokens and a null count, an empty one an empty list;
+    repeated rows and null ids stay.
+    """
     return bpe.encoded(docs)
 
 
