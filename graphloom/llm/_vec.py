@@ -154,7 +154,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of a document that are looked at together.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def pieces(data: np.ndarray, lo: int, hi: int, size: int, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:

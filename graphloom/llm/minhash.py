@@ -258,7 +258,8 @@ def join_apart(members: DataFrame, sigs: DataFrame, roots: DataFrame, slots: int
         keys = saved(rare_keys(many, sigs, slots, threshold))
         least = keys.groupBy("key").agg(F.min(F.struct("s", "c")).alias("h"))
         stars = keys.join(least, "key").where("c != h.c").select(F.col("h.s").alias("u"), F.col("s").alias("v")).distinct()
-        edges = edges.union(verified(stars, sigs, slots, threshold))
+        # saved, so that no task runs the workers of two steps at once
+        edges = edges.union(saved(verified(stars, sigs, slots, threshold)))
         roots = components(roots.select("u", F.col("root").alias("v")).union(edges))
         edges = saved(verified(across(with_roots(keys.select("key", "s"), roots)), sigs, slots, threshold))
     return roots if edges.isEmpty() else components(roots.select("u", F.col("root").alias("v")).union(edges))
