@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import SymbolGraph
-from ..runtime import hadoop_path
+from ..runtime import hadoop_path, saved
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -106,13 +106,15 @@ def star_graph(spark: SparkSession, sf_dir: str, edges_sql: str = EDGES_SQL) ->
 def numbered(df: DataFrame, *keys: str) -> DataFrame:
     """The rows with ``ord``, their number in the order of the keys.
 
-    Rows are range-partitioned and sorted; each partition is then numbered from
-    the count of those before it, so no task holds more than its own.
+    Rows are range-partitioned, sorted and written; each partition's rows are
+    then numbered from the count of those before it, so no task holds more than
+    its own.  They are written because the bounds of the ranges are sampled:
+    computed twice, they need not be the same.
     """
-    # a fixed number: adaptive execution must not merge partitions of one branch and not of the other
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
-    inside = placed.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
-    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before.select("__p", "__b")), "__p").withColumn("ord", (F.col("__b") + F.col("__r")).cast("bigint")).drop("__p", "__b", "__r")
+    placed = saved(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    # as many rows as partitions
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return placed.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn("ord", (F.col("__b") + row + 1).cast("bigint")).drop("__p", "__b", "__m")
