@@ -143,22 +143,31 @@ def families(docs: DataFrame, k: int = K, shingle: int = SHINGLE, low: int = LOW
     of null ids alone is never a head of others and has a null head.  Texts have
     any length; long ones are sketched piece by piece.  Each document is sketched
     once, and hot hashes have one head each, so nothing grows with their size.
+
+    Sketches are the bulk of the data.  They are shuffled twice, one a class and
+    task to be compared and all to meet the result, where adaptive execution
+    splits a class with a large share of all rows.  Only the sketches of heads
+    go on to the classes that meet them.
     """
-    rows = saved(fingerprints(docs, k, shingle, id_col, text_col).withColumn("__gl_s", F.when(F.size("sketch") > 0, F.xxhash64("sketch"))))
-    placed = rows.repartition("__gl_s")
-    classes = placed.where("__gl_s is not null").groupBy("__gl_s").agg(F.min("doc_id").alias("__gl_rep"), F.count(F.lit(1)).alias("n_copies"), F.first("sketch").alias("sketch"))
-    classes = saved(classes)
-    lows = classes.where("__gl_rep is not null").select("__gl_s", "__gl_rep", F.explode(F.slice("sketch", 1, low)).alias("h"))
-    head = lows.groupBy("h").agg(F.min(F.struct("__gl_rep", "__gl_s")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = classes.select("__gl_s", F.explode(F.slice("sketch", 1, low)).alias("h")).join(head, "h").where("__gl_s != head.__gl_s")
-    met = met.select("__gl_s", F.col("head.__gl_s").alias("__gl_t"), F.col("head.__gl_rep").alias("head_id")).distinct()
-    left, right = classes.select("__gl_s", F.col("sketch").alias("__gl_a")), classes.select(F.col("__gl_s").alias("__gl_t"), F.col("sketch").alias("__gl_b"))
-    a, b = F.col("__gl_a"), F.col("__gl_b")
-    compared = met.join(right, "__gl_t").join(left, "__gl_s").select("__gl_s", "head_id", resemblance(a, b, k).alias("r"), containment(a, b, k).alias("c"))
+    rows = fingerprints(docs, k, shingle, id_col, text_col).withColumn("__gl_s", F.when(F.size("sketch") > 0, F.xxhash64("sketch")))
+    rows = saved(rows)
+    some = rows.where("__gl_s is not null")
+    classes = saved(some.groupBy("__gl_s").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first(F.slice("sketch", 1, low)).alias("lows")))
+    lows = classes.select("__gl_s", "rep", F.explode("lows").alias("h"))
+    head = lows.where("rep is not null").groupBy("h").agg(F.min(F.struct("rep", "__gl_s")).alias("head"))
+    met = lows.select("__gl_s", "h").join(head, "h").where("__gl_s != head.__gl_s").select(F.col("__gl_s").alias("a"), F.col("head.__gl_s").alias("b"), F.col("head.rep").alias("b_rep"))
+    met = saved(met.distinct())
+    # rows of a class have the same sketch, of which each task passes on one
+    sketches = some.groupBy("__gl_s").agg(F.first("sketch").alias("sketch"))
+    right = sketches.select(F.col("__gl_s").alias("b"), F.col("sketch").alias("__gl_b"))
+    left = sketches.select(F.col("__gl_s").alias("a"), F.col("sketch").alias("__gl_a"))
+    x, y = F.col("__gl_a"), F.col("__gl_b")
+    both = met.join(right, "b").select("a", "b_rep", "__gl_b").join(left, "a")
+    compared = both.select(F.col("a").alias("__gl_s"), F.col("b_rep").alias("head_id"), resemblance(x, y, k).alias("r"), containment(x, y, k).alias("c"))
     best = compared.groupBy("__gl_s").agg(F.min(F.struct((-F.greatest("r", "c")).alias("x"), "head_id", "r", "c")).alias("b"))
     whole = F.when(F.col("__gl_s").isNotNull(), 1.0).otherwise(0.0)
-    known = classes.drop("sketch").join(best, "__gl_s", "left").select("__gl_s", "n_copies", F.coalesce("b.head_id", "__gl_rep").alias("head_id"), F.coalesce("b.r", F.lit(1.0)).alias("r"), F.coalesce("b.c", F.lit(1.0)).alias("c"))
-    return placed.join(known, "__gl_s", "left").select(
+    known = classes.join(best, "__gl_s", "left").select("__gl_s", "n_copies", F.coalesce("b.head_id", "rep").alias("head_id"), F.coalesce("b.r", F.lit(1.0)).alias("r"), F.coalesce("b.c", F.lit(1.0)).alias("c"))
+    return rows.join(known, "__gl_s", "left").select(
         "doc_id",
         "n_distinct",
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
