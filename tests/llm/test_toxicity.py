@@ -54,12 +54,13 @@ def brute_edges(rows, seeds, window):
 
 
 def brute_polarity(rows, toxic, clean, window, restart=0.5, steps=8, evidence=7.0):
-    """Word -> polarity, with the whole graph in memory and one probability for every word."""
+    """Word -> polarity, with the whole graph in memory, an edge between any two words, and one probability for every word."""
     seeds = [*toxic, *clean]
-    n, every = brute_edges(rows, seeds, window)
+    _, every = brute_edges(rows, seeds, window)
+    links, _ = brute_edges(rows, set(every), window)
     total = sum(every.values())
     weight = {}
-    for a, c in n.items():
+    for a, c in links.items():
         for s, k in c.items():
             less = min(every[a], every[s])
             x = math.log(k * total / every[a] / every[s]) * k / (k + 1) * less / (less + 1)
@@ -83,7 +84,7 @@ def brute_polarity(rows, toxic, clean, window, restart=0.5, steps=8, evidence=7.
         walks.append(p)
     whole = sum(out.values())
     share = lambda a: out[a] / whole
-    polar = lambda a: math.log10((walks[0].get(a, 0) / share(a) + 1e-3) / (walks[1].get(a, 0) / share(a) + 1e-3)) * sum(n[a].values()) / (sum(n[a].values()) + evidence)
+    polar = lambda a: math.log10((walks[0].get(a, 0) / share(a) + 1e-3) / (walks[1].get(a, 0) / share(a) + 1e-3)) * every[a] / (every[a] + evidence)
     return {a: polar(a) for a in out if out[a] > 0}
 
 
@@ -123,6 +124,38 @@ def test_polarities_equal_brute_force(spark):
     assert all(abs(got[w] - want[w]) < 1e-9 for w in want)
 
 
+def test_links_of_all_words_equal_brute_force(spark):
+    rows = [(i, prose(80, i)) for i in range(12)] + [(50, None), (51, ""), (52, "alone"), (53, "same same")]
+    _, every = brute_edges(rows, set(), 3)
+    want, _ = brute_edges(rows, set(every), 3)
+    name = dict(zip(hashes(list(every)).tolist(), every))
+    old, m._PAIRS = m._PAIRS, 50
+    try:
+        for head in (0, 20, 1000):
+            g = m.graph(docs(spark, rows).repartition(3), 3, head=head)
+            word = [name[h] for h in g.hashes.tolist()]
+            assert sorted(word) == sorted(every) and [every[w] for w in word] == g.degree.tolist() == sorted(every.values(), reverse=True)
+            got = {}
+            for r in g.links.collect():
+                key, n = m._unpacked(r.m, r.keys, r.counts)
+                for k, c in zip(key.tolist(), n.tolist()):
+                    assert (k >> 32) % g.parts == r.part and (k >> 32, k & 0xFFFFFFFF) not in got
+                    got[k >> 32, k & 0xFFFFFFFF] = c
+            pairs = {(a, b) for a in range(len(word)) for b in range(len(word)) if want[word[a]][word[b]]}
+            assert set(got) == {(a, b) for a, b in pairs if a > b or b >= head and a >= head}
+            assert all(c == want[word[a]][word[b]] for (a, b), c in got.items())
+    finally:
+        m._PAIRS = old
+
+
+def test_a_word_that_meets_no_seed_has_a_polarity(spark):
+    rows = [(i, f"bad mild{i % 3} x{i % 5}") for i in range(20)] + [(50 + i, f"good well{i % 3} y{i % 5}") for i in range(20)] + [(100 + i, f"mild{i % 3} far") for i in range(6)]
+    want = brute_polarity(rows, {"bad": 20.0}, {"good": 20.0}, 1)
+    out = {r.h: r.polarity for r in m.polarities(docs(spark, rows), seeds_of({"bad": 20.0}, {"good": 20.0}), 1).collect()}
+    far = out[int(hashes(["far"]).view(np.int64)[0])]
+    assert far > 0.5 and abs(far - want["far"]) < 1e-9
+
+
 def test_seeds_equal_brute_force(spark):
     rows, labels = corpus(120)
     d = docs(spark, rows)
