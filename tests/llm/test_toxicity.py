@@ -176,6 +176,27 @@ def test_seeds_equal_brute_force(spark):
     assert (got.hashes == want.hashes).all() and (got.toxic == want.toxic).all() and (got.clean == want.clean).all()
 
 
+def test_copies_of_one_document_give_no_seeds(spark):
+    rows, labels = corpus()
+    r = random.Random(8)
+    odd = [f"odd{i}" for i in range(60)]
+    for i in range(60):
+        w = list(odd)
+        w[r.randrange(50, 60)] += "x" * (i % 3)
+        rows.append((1000 + i, " ".join(w)))
+        labels.append((1000 + i, 1))
+    rows += [(2000, ""), (2001, " .. ")]
+    labels += [(2000, 0), (2001, 1)]
+    sample = m.sample_labelled(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(hashes(odd).tolist()) & set(m.choose_seeds(sample, toxic_seeds=5).hashes.tolist())
+    kept = m.apart(sample)
+    texts = [x.t for x in kept.collect()]
+    assert len(texts) == len(set(texts)) and 300 <= len(texts) < 320
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, m.apart(sample.repartition(5)).collect()))
+    seeds = m.choose_seeds(kept, toxic_seeds=5)
+    assert set(seeds.hashes[seeds.toxic > 0].tolist()) == set(hashes(BAD).tolist())
+
+
 def test_best_cut_equals_trying_all():
     r = np.random.default_rng(1)
     for _ in range(30):
