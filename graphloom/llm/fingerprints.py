@@ -141,16 +141,16 @@ def families(docs: DataFrame, k: int = K, shingle: int = SHINGLE, low: int = LOW
 
     Ids of one class with a null among them are spoken for by the others; a class
     of null ids alone is never a head of others and has a null head.  Texts have
-    any length; long ones are sketched piece by piece.  Each document is sketched
-    once, and hot hashes have one head each, so nothing grows with their size.
-
-    Sketches are the bulk of the data.  They are shuffled twice, one a class and
-    task to be compared and all to meet the result, where adaptive execution
-    splits a class with a large share of all rows.  Only the sketches of heads
-    go on to the classes that meet them.
+    any length; long ones are sketched piece by piece.  Hot hashes have one head
+    each, so nothing grows with their size.
+
+    Sketches are the bulk of the data.  They are not written but made again each
+    time, which gives the same, and shuffled twice, one a class and task to be
+    compared and all to meet the result, where adaptive execution splits a class
+    with a large share of all rows.  Only the sketches of heads go on to the
+    classes that meet them.
     """
     rows = fingerprints(docs, k, shingle, id_col, text_col).withColumn("__gl_s", F.when(F.size("sketch") > 0, F.xxhash64("sketch")))
-    rows = saved(rows)
     some = rows.where("__gl_s is not null")
     classes = saved(some.groupBy("__gl_s").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first(F.slice("sketch", 1, low)).alias("lows")))
     lows = classes.select("__gl_s", "rep", F.explode("lows").alias("h"))

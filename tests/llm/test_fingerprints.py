@@ -101,6 +101,14 @@ def test_families_equal_brute_force(spark):
     assert len(alike) > 50 and found >= 0.95 * len(alike)
 
 
+def test_sketches_are_not_written(spark, monkeypatch):
+    written, saved = [], f.saved
+    monkeypatch.setattr(f, "saved", lambda df: written.append(df.columns) or saved(df))
+    out = f.families(docs(spark, odd_rows())).collect()
+    assert written and not any("sketch" in x for x in written)
+    assert len(out) == len(odd_rows())
+
+
 def test_sketches_of_pieces_merge(spark):
     text = prose(900, 3)
     whole = f.sketch(docs(spark, [(1, text)])).first().sketch
