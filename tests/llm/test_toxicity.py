@@ -1,6 +1,8 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +150,46 @@ def test_links_of_all_words_equal_brute_force(spark):
         m._PAIRS = old
 
 
+def test_links_are_made_in_bounded_memory():
+    r = np.random.default_rng(2)
+    # words of a few frequent and many rare ones, as in prose
+    texts = [" ".join(f"w{k}" for k in (200_000 * r.random(1000) ** 6).astype(int)) for _ in range(600)]
+    data, offs = v.buffers(pa.array(texts))
+    h, n = np.unique(v.words(data, offs, 0, len(texts)).hash, return_counts=True)
+    number = np.empty(len(h), dtype=np.int64)
+    number[np.argsort(-n, kind="stable")] = np.arange(len(h))
+    sent = SimpleNamespace(value=m._numbering(h, number))
+    old, m.PASSES = m.PASSES, 1
+    tracemalloc.start()
+    try:
+        made = list(m._pairs(sent, 4, 3, 1000, 0)(pa.record_batch([pa.array(texts)], ["t"]).slice(k, 50) for k in range(0, 600, 50)))
+        merged = [row for b in made for row in b.to_pylist()]
+        at_most = tracemalloc.get_traced_memory()[1]
+    finally:
+        m.PASSES = old
+        tracemalloc.stop()
+    pairs = sum(row["m"] for row in merged)
+    assert pairs > 800_000
+    assert at_most < 65 * pairs
+
+
+def test_sums_of_links_do_not_depend_on_the_room_for_counts():
+    r = np.random.default_rng(3)
+    key, n = r.integers(0, 50, 2000) << 32 | r.integers(0, 60, 2000), r.integers(1, 40, 2000)
+    n[:3] = 100_000
+    want = Counter()
+    for k, c in zip(key.tolist(), n.tolist()):
+        want[k] += c
+    for bits in (1, 3, 26):
+        got, count = m._summed(m._tagged(key, n, bits), bits)
+        assert got.tolist() == sorted(want) and count.tolist() == [want[k] for k in sorted(want)]
+    _, m_links, keys, counts = m._packed(0, got, count)
+    assert [x.tolist() for x in m._unpacked(m_links, keys, counts)] == [got.tolist(), count.tolist()]
+    hashes_ = np.sort(r.integers(0, 2**64, 500, dtype=np.uint64))
+    order = r.permutation(500)
+    assert [x.tolist() for x in m._numbered(*m._numbering(hashes_, order))] == [hashes_.tolist(), order.tolist()]
+
+
 def test_a_word_that_meets_no_seed_has_a_polarity(spark):
     rows = [(i, f"bad mild{i % 3} x{i % 5}") for i in range(20)] + [(50 + i, f"good well{i % 3} y{i % 5}") for i in range(20)] + [(100 + i, f"mild{i % 3} far") for i in range(6)]
     want = brute_polarity(rows, {"bad": 20.0}, {"good": 20.0}, 1)
